@@ -1,6 +1,6 @@
 """All named queries."""
 
-from . import windows  # noqa: F401
+from . import lines, windows  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
