@@ -14,6 +14,14 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value, fn) -> Column:
+    """fn(value) with the value worked out once, however often fn uses it.
+
+    An expression used inside a higher-order function is otherwise evaluated per element.
+    """
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def linspace(start, stop, n) -> Column:
     """n evenly spaced values from start to stop, both included."""
     a, b, n = col(start), col(stop), col(n) if isinstance(n, (str, Column)) else F.lit(n)
@@ -93,11 +101,13 @@ def array_mean(values) -> Column:
 
 
 def softmax(values) -> Column:
-    m = F.array_max(col(values))
-    e = F.transform(col(values), lambda v: F.exp(v - m))
-    # The total is computed once per row: a one-element array carries (exponentials, total).
-    carried = F.transform(F.array(F.struct(e.alias("e"))), lambda s: F.struct(s["e"].alias("e"), array_sum(s["e"]).alias("t")))
-    return F.element_at(F.transform(carried, lambda s: F.transform(s["e"], lambda v: v / s["t"])), 1)
+    def scaled(v):
+        return let(F.array_max(v), lambda m: F.transform(v, lambda x: F.exp(x - m)))
+
+    def shares(e):
+        return let(array_sum(e), lambda t: F.transform(e, lambda x: x / t))
+
+    return let(col(values), lambda v: let(scaled(v), shares))
 
 
 def cumsum(values) -> Column:
@@ -152,24 +162,29 @@ def squash_short_runs(flags, max_gap) -> Column:
     f = col(flags)
     limit = F.least(col(max_gap) if isinstance(max_gap, Column) else F.lit(max_gap), F.size(f) - 1) - 1
     short = F.filter(set_runs(f), lambda r: (r["last"] - r["first"] + 1) <= limit)
-    return F.when(limit < 1, f).otherwise(
-        F.transform(f, lambda x, i: x & ~F.exists(short, lambda r: (i >= r["first"]) & (i <= r["last"])))
+    cleared = let(
+        F.struct(f.alias("f"), short.alias("short")),
+        lambda s: F.transform(s["f"], lambda x, i: x & ~F.exists(s["short"], lambda r: (i >= r["first"]) & (i <= r["last"]))),
     )
+    return F.when(limit < 1, f).otherwise(cleared)
 
 
 def resample_linear(values, n) -> Column:
     """Values resized to n cells, linear, pixel-centre map with the edge cell repeated."""
-    v = col(values)
-    m = F.size(v)
     n = n if isinstance(n, Column) else F.lit(n)
 
-    def at(j):
-        x = F.greatest(F.lit(0.0), F.least((j + 0.5) * m / n - 0.5, (m - 1).cast("double")))
-        lo = F.least(F.floor(x).cast("int"), F.greatest(m - 2, F.lit(0)))
-        a, b = F.get(v, lo), F.coalesce(F.get(v, lo + 1), F.get(v, lo))
-        return a + (b - a) * (x - lo)
+    def resized(v):
+        m = F.size(v)
+
+        def at(j):
+            x = F.greatest(F.lit(0.0), F.least((j + 0.5) * m / n - 0.5, (m - 1).cast("double")))
+            lo = F.least(F.floor(x).cast("int"), F.greatest(m - 2, F.lit(0)))
+            a, b = F.get(v, lo), F.coalesce(F.get(v, lo + 1), F.get(v, lo))
+            return a + (b - a) * (x - lo)
+
+        return F.when(m == n, v).otherwise(F.transform(F.sequence(F.lit(0), n - 1), at))
 
-    return F.when(m == n, v).otherwise(F.transform(F.sequence(F.lit(0), n - 1), at))
+    return let(col(values), resized)
 
 
 def resample_nearest(values, n) -> Column:
@@ -193,7 +208,13 @@ def regrid_keep_missing(values, src_start, src_stop, dst_start, dst_stop, dst_n,
     missing indicator on the full source grid exceeds ``threshold``. Source values must
     be in increasing order of depth.
     """
-    v, a, b = col(values), col(src_start), col(src_stop)
+    return let(
+        F.struct(col(values).alias("v"), col(src_start).alias("a"), col(src_stop).alias("b")),
+        lambda s: _regridded(s["v"], s["a"], s["b"], linspace(dst_start, dst_stop, dst_n), threshold),
+    )
+
+
+def _regridded(v: Column, a: Column, b: Column, target: Column, threshold: float) -> Column:
     n = F.size(v)
     step = (b - a) / F.greatest(n - 1, F.lit(1))
     idx = F.sequence(F.lit(0), n - 1)
@@ -219,7 +240,6 @@ def regrid_keep_missing(values, src_start, src_stop, dst_start, dst_stop, dst_n,
         )
     )
     carried = F.array(F.struct(prev.alias("p"), nxt.alias("q")))
-    target = linspace(dst_start, dst_stop, dst_n)
 
     def one(pq, d):
         # Positions within 1e-9 of a source cell count as on it.

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from ..session import cut
 from .blocks import scan
 from .quantiles import quantiles
 
@@ -23,7 +24,7 @@ def grouped_mode(df: DataFrame, key: Sequence[str], value: str, out: str) -> Dat
 
 def row_length(df: DataFrame, how: str = "mode", key: Sequence[str] = KEY, idx: str = "ping_index") -> DataFrame:
     """Cell count to use per recording, as column ``n_depth``, chosen from its row lengths."""
-    d = df.select(*key, idx, F.size("sv").alias("_len"))
+    d = df.select(*key, idx, (F.col("_len") if "_len" in df.columns else F.size("sv")).alias("_len"))
     if how == "min":
         return d.groupBy(*key).agg(F.min("_len").alias("n_depth"))
     if how == "max":
@@ -63,15 +64,17 @@ def regrid(df: DataFrame, how: str = "mode", skip: int = 0, threshold: float = 0
     """
     d = df.where(F.col(idx) >= skip) if skip else df
     d = d.withColumn("sv", A.sentinel_to_null("sv"))
-    n = row_length(d, how, key, idx)
-    same = d.select(*key, idx, F.size("sv").alias("_len"), "depth_start", "depth_stop").join(n, list(key)).where("_len = n_depth")
+    # The choice needs three numbers per ping, not the samples.
+    head = cut(d.select(*key, idx, F.size("sv").alias("_len"), "depth_start", "depth_stop"), "extents")
+    n = cut(row_length(head, how, key, idx), "lengths")
+    same = head.join(n, list(key)).where("_len = n_depth")
     if how == "median":
         a = quantiles(same, key, "depth_start", [0.5]).select(*key, F.get("q", F.lit(0)).alias("grid_start"))
         b = quantiles(same, key, "depth_stop", [0.5]).select(*key, F.get("q", F.lit(0)).alias("grid_stop"))
     else:
         a = grouped_mode(same, key, "depth_start", "grid_start")
         b = grouped_mode(same, key, "depth_stop", "grid_stop")
-    grid = n.join(a, list(key)).join(b, list(key))
+    grid = cut(n.join(a, list(key)).join(b, list(key)), "grid")
     d = d.join(grid, list(key))
     down = F.col("depth_start") < F.col("depth_stop")
     d = d.withColumns(

@@ -74,7 +74,8 @@ def drop_thin(mask) -> Column:
 
 def _fill(arr, lo, hi, value, when) -> Column:
     """Array with cells lo <= i < hi replaced by value where ``when`` holds."""
-    return F.transform(arr, lambda x, i: F.when(when & (i >= lo) & (i < hi), value).otherwise(x))
+    args = F.struct(lo.alias("lo"), hi.alias("hi"), value.alias("value"), when.alias("when"))
+    return A.let(args, lambda a: F.transform(arr, lambda x, i: F.when(a["when"] & (i >= a["lo"]) & (i < a["hi"]), a["value"]).otherwise(x)))
 
 
 def _any_in(arr, lo, hi) -> Column:

@@ -35,20 +35,25 @@ def mask_onto_grid(masked: DataFrame, target: DataFrame, mask: str = "mask", key
     b, a = F.col("_b"), F.col("_a")
     f = F.when(a["x"] > b["x"], (F.col(ts) - b["x"]) / (a["x"] - b["x"])).otherwise(F.lit(0.0))
     s = s.withColumn("_m", F.zip_with(b["m"], a["m"], lambda p, q: p + (q - p) * f))
-    n = F.size("_m")
-    step = (b["b"] - b["a"]) / (n - 1)
-
-    def at(d):
-        raw = (d - b["a"]) / step
-        near = F.bround(raw)
-        x = F.greatest(F.lit(0.0), F.least((n - 1).cast("double"), F.when(F.abs(raw - near) < 1e-9, near).otherwise(raw)))
-        lo = F.floor(x).cast("int")
-        p = F.get("_m", lo)
-        q = F.coalesce(F.get("_m", lo + 1), p)
-        return p + (q - p) * (x - lo) > 0.5
+    step = (b["b"] - b["a"]) / (F.size("_m") - 1)
+
+    def resampled(z):
+        v, n = z["m"], F.size(z["m"])
+
+        def at(d):
+            raw = (d - z["a"]) / z["step"]
+            near = F.bround(raw)
+            x = F.greatest(F.lit(0.0), F.least((n - 1).cast("double"), F.when(F.abs(raw - near) < 1e-9, near).otherwise(raw)))
+            lo = F.floor(x).cast("int")
+            p = F.get(v, lo)
+            q = F.coalesce(F.get(v, lo + 1), p)
+            return p + (q - p) * (x - lo) > 0.5
+
+        return F.transform(z["grid"], at)
 
     grid = A.linspace("_row.grid_start", "_row.grid_stop", F.col("_row.grid_n"))
-    return s.select(*key, ts, "_row.*", F.transform(grid, at).alias(mask))
+    args = F.struct(F.col("_m").alias("m"), b["a"].alias("a"), step.alias("step"), grid.alias("grid"))
+    return s.select(*key, ts, "_row.*", A.let(args, resampled).alias(mask))
 
 
 # --- Connected cells ---

@@ -31,7 +31,8 @@ def quantiles(df: DataFrame, key: Sequence[str], value: str, probs: Sequence[flo
         (F.sum("_c").over(w.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")).alias("_before"),
         F.sum("_c").over(w).alias("_n"),
     )
-    pos = F.array(*[F.lit(float(p)) * (F.col("_n") - 1) for p in probs])
+    wanted = F.array(*[F.lit(float(p)) for p in probs])
+    pos = F.transform(wanted, lambda p: p * (F.col("_n") - 1))
     ranks = F.array_distinct(
         F.concat(F.transform(pos, lambda p: F.floor(p).cast("long")), F.transform(pos, lambda p: F.ceil(p).cast("long")))
     )
@@ -58,10 +59,10 @@ def quantiles(df: DataFrame, key: Sequence[str], value: str, probs: Sequence[flo
         F.first("_n").alias("_n"), F.map_from_entries(F.collect_list(F.struct("_r", "_v"))).alias("_m")
     )
 
-    def one(p: float):
-        x = F.lit(float(p)) * (F.col("_n") - 1)
+    def one(p):
+        x = p * (F.col("_n") - 1)
         lo = F.try_element_at("_m", F.floor(x).cast("long"))
         hi = F.try_element_at("_m", F.ceil(x).cast("long"))
         return lo + (hi - lo) * (x - F.floor(x))
 
-    return m.select(*key, F.array(*[one(p) for p in probs]).alias(out), F.col("_n").alias("_count"))
+    return m.select(*key, F.transform(wanted, one).alias(out), F.col("_n").alias("_count"))
