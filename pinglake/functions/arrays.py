@@ -241,22 +241,31 @@ def _regridded(v: Column, a: Column, b: Column, target: Column, threshold: float
     )
     carried = F.array(F.struct(prev.alias("p"), nxt.alias("q")))
 
+    def value(pq, w):
+        x, lo, hi = w["x"], w["lo"], w["hi"]
+        influence = w["mlo"] + (w["mhi"] - w["mlo"]) * (x - lo)
+        inside = (x >= 0) & (x <= n - 1) & (influence <= threshold)
+
+        def between(z):
+            y0, y1 = F.get(v, z["p"]), F.get(v, z["q"])
+            y = F.when(z["p"] == z["q"], y0).otherwise(y0 + (y1 - y0) * (x - z["p"]) / (z["q"] - z["p"]))
+            return F.when((z["p"] >= 0) & (z["q"] < n), y)
+
+        return F.when(inside, let(F.struct(F.get(pq["p"], lo).alias("p"), F.get(pq["q"], hi).alias("q")), between))
+
     def one(pq, d):
         # Positions within 1e-9 of a source cell count as on it.
         raw = F.when(step == 0, F.lit(0.0)).otherwise((d - a) / step)
-        near = F.bround(raw)
-        x = F.when(F.abs(raw - near) < 1e-9, near).otherwise(raw)
-        lo = F.floor(x).cast("int")
-        hi = F.ceil(x).cast("int")
-        frac = x - lo
-        miss_lo = F.get(v, lo).isNull().cast("double")
-        miss_hi = F.get(v, hi).isNull().cast("double")
-        influence = miss_lo + (miss_hi - miss_lo) * frac
-        p, q = F.get(pq["p"], lo), F.get(pq["q"], hi)
-        y0, y1 = F.get(v, p), F.get(v, q)
-        y = F.when(p == q, y0).otherwise(y0 + (y1 - y0) * (x - p) / (q - p))
-        ok = (x >= 0) & (x <= n - 1) & (influence <= threshold) & (p >= 0) & (q < n)
-        return F.when(ok, y)
+        snapped = lambda r: F.when(F.abs(r - F.rint(r)) < 1e-9, F.rint(r)).otherwise(r)
+
+        def cells(x):
+            lo, hi = F.floor(x).cast("int"), F.ceil(x).cast("int")
+            return F.struct(
+                x.alias("x"), lo.alias("lo"), hi.alias("hi"),
+                F.get(v, lo).isNull().cast("double").alias("mlo"), F.get(v, hi).isNull().cast("double").alias("mhi"),
+            )
+
+        return let(raw, lambda r: let(snapped(r), lambda x: let(cells(x), lambda w: value(pq, w))))
 
     present = F.size(F.filter(v, lambda x: x.isNotNull()))
     mapped = F.element_at(F.transform(carried, lambda pq: F.transform(target, lambda d: one(pq, d))), 1)
