@@ -35,40 +35,35 @@ def _(t):
     return d.select(*PK, F.posexplode("m").alias("j", "filled"))
 
 
-# Every whole block is one contour: 8 by 10 cells with the corners cut by half a cell.
-# The gap of every third recording leads to the enclosed cells and so stays part of the
-# contour.
+def _blocks(t):
+    """The same frames without gaps."""
+    k = F.col("ping_index")
+    frame = lambda j: (k % 12).between(2, 9) & j.between(20, 29) & ~((k % 12).between(4, 7) & j.between(22, 27))
+    return t.echo.withColumn("mask_patches", F.transform("sv", lambda _, j: frame(j)))
+
+
+# A whole block is one contour: 8 by 10 cells, each corner cut by an eighth of a cell. A
+# block that the recording's end cuts is open there, and so is what it framed: half a cell
+# less at that side, and two corners.
 _AREA = """,
-n AS (SELECT transect_id, max(ping_index) AS last FROM echo WHERE transect_id % 3 <> 0 GROUP BY 1),
-b AS (SELECT transect_id, last, unnest(range(0, last // 12 + 1)) AS b FROM n),
-e AS (SELECT transect_id, b, 12 * b + 2 AS i0, least(12 * b + 9, last) AS i1, 12 * b + 9 >= last AS open FROM b WHERE 12 * b + 2 <= last)
-SELECT transect_id, i0 AS first, round((i1 - i0 + 1) * 10 - 0.5, 6)::DOUBLE AS area FROM e WHERE NOT open"""
+n AS (SELECT transect_id, max(ping_index) AS last FROM echo GROUP BY 1),
+b AS (SELECT transect_id, last, unnest(range(0, last // 12 + 1)) * 12 AS b FROM n)
+SELECT transect_id, CAST(b + 2 AS BIGINT) AS first, CASE WHEN b + 9 < last THEN 79.5::DOUBLE ELSE (last - (b + 2) + 0.5::DOUBLE) * 10 - 0.25 END AS area FROM b WHERE b + 2 <= last
+UNION ALL SELECT transect_id, CAST(b + 4 AS BIGINT), (last - (b + 4) + 0.5::DOUBLE) * 6 - 0.25 FROM b WHERE last BETWEEN b + 4 AND b + 7"""
 
 
 @query("u5_patch_contours", "echo", _AREA)
 def _(t):
-    d = _holes(t).where("transect_id % 3 <> 0").withColumnRenamed("m", "mask_patches")
-    c = patches.patch_contours(d, chunk=16)
-    # A block cut off by the recording's end is open there and has no simple area.
-    last = t.echo.groupBy("transect_id").agg(F.max("ts_s").alias("_t"))
-    c = c.join(last, "transect_id").where(F.col("ts_end") < F.col("_t"))
-    # First set ping: half a ping after the contour begins.
-    k = F.explode("points")
-    p = c.select("transect_id", "number", "area", k.alias("p")).groupBy("transect_id", "number").agg(F.first("area").alias("area"), F.min("p.ts_s").alias("ts"))
-    at = t.echo.select("transect_id", "ping_index", "ts_s")
-    j = p.join(at, (p.transect_id == at.transect_id) & (F.floor(p.ts + 0.75) == F.floor(at.ts_s))).select(p.transect_id, F.col("ping_index").alias("first"), F.round("area", 6).alias("area"))
-    return j
-
-
-@query("u6_patches_to_cells", "samp", """,
-n AS (SELECT transect_id, max(ping_index) AS last FROM echo GROUP BY 1)
-SELECT s.transect_id, ping_index, CAST(j AS INT) AS j, (ping_index % 12 BETWEEN 2 AND 9 AND j BETWEEN 20 AND 29 AND (ping_index - ping_index % 12) + 9 < last) AS patch FROM samp s JOIN n USING (transect_id) WHERE transect_id % 3 <> 0""")
+    c = patches.patch_contours(_blocks(t), chunk=16)
+    return c.select("transect_id", "first", F.round("area", 6).alias("area"))
+
+
+@query("u6_patches_to_cells", "samp", """
+SELECT transect_id, ping_index, CAST(j AS INT) AS j, ping_index % 12 BETWEEN 2 AND 9 AND j BETWEEN 20 AND 29 AS patch FROM samp""")
 def _(t):
-    flat = _holes(t).where("transect_id % 3 <> 0").withColumns({"depth_start": F.lit(0.25), "depth_stop": F.lit(31.75)})
-    n = flat.groupBy("transect_id").agg(F.max("ping_index").alias("_last"))
-    whole = flat.join(n, "transect_id").withColumn("mask_patches", F.when((F.col("ping_index") - F.col("ping_index") % 12) + 9 < F.col("_last"), F.col("m")).otherwise(F.transform("m", lambda x: F.lit(False))))
-    # Regions one cell inside the contour: its corner points moved half a cell inwards.
-    c = whole.where(F.exists("mask_patches", lambda x: x)).withColumn("b", F.floor(F.col("ping_index") / 12))
+    flat = _blocks(t).withColumns({"depth_start": F.lit(0.25), "depth_stop": F.lit(31.75)})
+    # One region per block: the centres of its corner cells.
+    c = flat.where(F.exists("mask_patches", lambda x: x)).withColumn("b", F.floor(F.col("ping_index") / 12))
     box = c.groupBy("transect_id", F.col("b").cast("long").alias("number")).agg(F.min("ts_s").alias("a"), F.max("ts_s").alias("z"))
     pt = lambda x, d: F.struct(F.col(x).alias("ts_s"), F.lit(d).alias("depth"))
     top, low = 0.25 + 20 * 0.5, 0.25 + 29 * 0.5

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import asof, grid, patches, runs
-from ..session import scratch
+from ..session import ensure, scratch
 from ..sources import files, pings, regions, shards
 from ..sources import lines as line_files
 from ..streaming import ingest as ing
@@ -19,17 +19,16 @@ def _id():
 
 def _export(t):
     """Ping exports of all echograms, one folder per recording, in the shared folder."""
-    k = (t.spark.sparkContext.applicationId, t.dir, "export")
-    from ..fixtures import _STORED
 
-    if k not in _STORED:
+    def write() -> str:
         path = scratch(t.spark, "pings-text")
-        rows = pings.render_pings(t.echo.drop("embedding"))
+        rows = pings.render_pings(t.echo)
         # One malformed row per recording, after the others.
         bad = rows.where("seq = 5").select("transect_id", F.lit(1 << 40).alias("seq"), F.regexp_replace("value", "^5,", "five,").alias("value"))
         files.write_text(rows.unionByName(bad), path, ["transect_id"], ["seq"])
-        _STORED[k] = path
-    return _STORED[k]
+        return path
+
+    return ensure(t.spark, (t.dir, "export"), write)
 
 
 def _rows(t):
@@ -264,11 +263,11 @@ def _(t):
     return datasets.concat([(a, {"max_depth": 70.0}), (a.where("dataset = 'src1'"), {"max_depth": None})]).select("path", "dataset", "copy", "max_depth")
 
 
-@query("x3_merge_partitions", "files", " SELECT path, CASE WHEN survey IN ('src1', 'src2') THEN survey END AS sub FROM files WHERE survey IN ('src1', 'src2')")
+@query("x3_merge_partitions", "files", " SELECT path, tide AS sub FROM files")
 def _(t):
     from ..plans import datasets
 
-    parts = {s: t.files.where(F.col("survey") == s).select("path") for s in ("src1", "src2")}
+    parts = {s: t.files.where(F.col("tide") == s).select("path") for s in ("de", "en", "es", "fr")}
     return datasets.merge_partitions(parts).select("path", "sub")
 
 

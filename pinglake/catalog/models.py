@@ -66,10 +66,10 @@ def _channels(t):
 
 _U2 = """,
 mx AS (SELECT *, max(logit) OVER (PARTITION BY transect_id, ping_index) AS mm FROM samp),
-e AS (SELECT *, exp((logit - mm)) AS e0, exp((logit - mm) * 0.95::DOUBLE) AS e1 FROM mx),
-s AS (SELECT *, e0 / sum(e0) OVER q AS b0, e1 / sum(e1) OVER q AS b1, ln(avg(exp((logit - mm) * 0.9::DOUBLE)) OVER q) + mm * 0.9::DOUBLE AS lr,
+e AS (SELECT *, exp((logit - mm)) AS e0, exp((logit - mm) * 0.95::DOUBLE) AS e1, exp((logit - mm) * 0.75::DOUBLE) AS e5 FROM mx),
+s AS (SELECT *, e0 / sum(e0) OVER q AS b0, e5 / sum(e5) OVER q AS b5, e1 / sum(e1) OVER q AS b1, ln(avg(exp((logit - mm) * 0.9::DOUBLE)) OVER q) + mm * 0.9::DOUBLE AS lr,
              ln(avg(exp((logit - mm) * 0.85::DOUBLE)) OVER q) + mm * 0.85::DOUBLE AS lp FROM e WINDOW q AS (PARTITION BY transect_id, ping_index)),
-c AS (SELECT *, least(1, sum(b0) OVER u) AS bt, least(1, sum(b0) OVER d) AS abt, least(1, sum(b1) OVER u) AS bb, least(1, sum(b1) OVER d) AS ab,
+c AS (SELECT *, least(1, sum(b0) OVER u) AS bt, least(1, sum(b0) OVER d) AS abt, least(1, sum(b1) OVER u) AS bb, least(1, sum(b1) OVER d) AS ab, least(1, sum(b5) OVER u) AS bsf,
              1 / (1 + exp(-lr)) AS p_removed, 1 / (1 + exp(-lp)) AS p_passive, 1 / (1 + exp(-logit * 0.8::DOUBLE)) AS pa FROM s
       WINDOW u AS (PARTITION BY transect_id, ping_index ORDER BY j), d AS (PARTITION BY transect_id, ping_index ORDER BY j DESC)),
 k AS (SELECT *, 0.5::DOUBLE * ((1 - abt) + bt) * 0.5::DOUBLE * ((1 - bb) + ab) * (1 - p_removed) * (1 - p_passive) * (1 - pa) AS p_keep,
@@ -189,10 +189,11 @@ def _(t):
 @query(
     "a14_channel_cells", "samp",
     _U2 + """,
-r AS (SELECT transect_id, ping_index, j, depth, turbulence, bottom, surface, is_passive, abt, bt, bb, ab, pa, p_removed, p_passive, m_keep,
+r AS (SELECT transect_id, ping_index, j, depth, turbulence, bottom, surface, is_passive, abt, bt, bb, ab, bsf, pa, p_removed, p_passive, m_keep,
              NOT is_passive AND NOT (ping_index % 23 IN (5, 6, 7)) AND NOT depth < turbulence AND NOT depth > bottom AND NOT (j % 9 = 0) AS keep FROM k),
 l AS (SELECT transect_id, ping_index, 'overall' AS channel, m_keep::INT::DOUBLE AS pred, keep::INT::DOUBLE AS target FROM r
       UNION ALL SELECT transect_id, ping_index, 'turbulence', bt, 1 - (depth < turbulence)::INT FROM r
+      UNION ALL SELECT transect_id, ping_index, 'surface', bsf, 1 - (depth < surface)::INT FROM r
       UNION ALL SELECT transect_id, ping_index, 'bottom', ab, 1 - (depth > bottom)::INT FROM r
       UNION ALL SELECT transect_id, ping_index, 'patch', pa, (j % 9 = 0)::INT FROM r
       UNION ALL SELECT transect_id, ping_index, 'removed', p_removed, (ping_index % 23 IN (5, 6, 7))::INT FROM r WHERE j = 0
@@ -206,7 +207,7 @@ def _(t):
         {"is_passive": (F.col("ping_index") % 17).between(11, 14), "is_removed": (F.col("ping_index") % 23).isin(5, 6, 7), "mask_patches": F.transform("sv", lambda _, j: j % 9 == 0)}
     )
     d = masks.keep_mask(lines.line_masks(d))
-    c = metrics.channel_cells(d).where("channel <> 'surface'")
+    c = metrics.channel_cells(d)
     s = metrics.mask_scores(c, ["transect_id", "channel"])
     return s.select("transect_id", "channel", "n", F.round("accuracy", 9).alias("accuracy"), F.round("active_target", 9).alias("active_target"))
 

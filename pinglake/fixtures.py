@@ -12,11 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.blocks import dense_index
-from .session import cut, prepare
+from .session import ensure, prepare, scratch
 
 KEY = ["transect_id"]
-# Ingested tables of this process, by application, data folder and name.
-_STORED: dict[tuple[str, str, str], DataFrame] = {}
 
 
 class Tables:
@@ -26,11 +24,14 @@ class Tables:
 
     def _ingested(self, name: str, build) -> DataFrame:
         """A recording table with its ping index, stored once as an ingest would."""
-        k = (self.spark.sparkContext.applicationId, self.dir, name)
-        if k not in _STORED:
-            _STORED[k] = cut(build(), name)
-        # A fresh frame over the stored files, so that self-joins resolve by name.
-        return _STORED[k].select("*")
+        df = build()
+
+        def write() -> str:
+            path = scratch(self.spark, name)
+            df.write.parquet(path)
+            return path
+
+        return self.spark.read.schema(df.schema).parquet(ensure(self.spark, (self.dir, name), write))
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")

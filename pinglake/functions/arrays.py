@@ -82,18 +82,24 @@ def array_sum(values) -> Column:
 
 def array_median(values) -> Column:
     """Median of an array; NULL when empty or when any element is NULL."""
-    s = F.sort_array(col(values))
-    n = F.size(s)
-    mid = (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
-    return F.when((n > 0) & F.forall(s, lambda x: x.isNotNull()), mid)
+
+    def middle(s):
+        n = F.size(s)
+        mid = (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
+        # Sorting puts NULLs first.
+        return F.when(F.get(s, F.lit(0)).isNotNull(), mid)
+
+    return let(F.sort_array(col(values)), middle)
 
 
 def log_avg_exp(values, temperature: float | None = None) -> Column:
     """log(mean(exp(x))), stabilised; with a temperature t, t*lae(x/t)."""
     t = F.lit(1.0 if temperature is None else float(temperature))
-    x = F.transform(col(values), lambda v: v / t)
-    m = F.array_max(x)
-    return t * (m + F.log(array_sum(F.transform(x, lambda v: F.exp(v - m))) / F.size(x)))
+
+    def lae(x):
+        return let(F.array_max(x), lambda m: t * (m + F.log(array_sum(F.transform(x, lambda v: F.exp(v - m))) / F.size(x))))
+
+    return let(F.transform(col(values), lambda v: v / t), lae)
 
 
 def array_mean(values) -> Column:
@@ -132,15 +138,14 @@ def p_above(boundary) -> Column:
 
 def first_index(flags, default: int = -1) -> Column:
     """0-based position of the first set flag."""
-    p = F.array_position(col(flags), True).cast("int")
-    return F.when(p > 0, p - 1).otherwise(F.lit(default))
+    p = F.array_position(col(flags), True).cast("int") - 1
+    return p if default == -1 else let(p, lambda i: F.when(i >= 0, i).otherwise(F.lit(default)))
 
 
 def last_index(flags, default: int = -1) -> Column:
     """0-based position of the last set flag."""
-    n = F.size(col(flags))
-    p = F.array_position(F.reverse(col(flags)), True).cast("int")
-    return F.when(p > 0, n - p).otherwise(F.lit(default))
+    place = F.struct(F.size(col(flags)).alias("n"), F.array_position(F.reverse(col(flags)), True).cast("int").alias("p"))
+    return let(place, lambda s: F.when(s["p"] > 0, s["n"] - s["p"]).otherwise(F.lit(default)))
 
 
 def above(values, threshold: float = 0.5) -> Column:

@@ -150,14 +150,16 @@ def scan(df: DataFrame, key: Sequence[str], order: Sequence[str], outs: dict[str
 
 
 def dense_index(df: DataFrame, key: Sequence[str], order: Sequence[str], out: str = "ping_index",
-                rows: int | None = None) -> DataFrame:
+                rows: int | None = None, total: str | None = None) -> DataFrame:
     """0-based position within the recording; ``order[0]`` must be numeric.
 
-    Works like a row number by recording, one block at a time.
+    Works like a row number by recording, one block at a time. ``total`` names a column
+    for the recording's row count, which the block counts give for nothing.
     """
     d = value_block(df, key, order[0], rows)
     counts = d.groupBy(*key, BLOCK).agg(F.count(F.lit(1)).alias("_n"))
     past = Window.partitionBy(*key).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(*key, BLOCK, F.coalesce(F.sum("_n").over(past), F.lit(0)).alias("_before"))
+    whole = [F.sum("_n").over(Window.partitionBy(*key)).alias(total)] if total else []
+    counts = counts.select(*key, BLOCK, F.coalesce(F.sum("_n").over(past), F.lit(0)).alias("_before"), *whole)
     d = d.join(counts, [*key, BLOCK])
     return d.withColumn(out, F.col("_before") + F.row_number().over(in_block(key, *order)) - 1).drop(BLOCK, "_before")

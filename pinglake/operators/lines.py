@@ -157,14 +157,15 @@ def default_lines(df: DataFrame, raise_errors: bool = True) -> DataFrame:
         .when(~F.col("has_bottom") & ~up, F.lit("no bottom line for a downfacing recording"))
         .when(~F.col("has_surface") & up, F.lit("no surface line for an upfacing recording"))
     )
-    d = df.withColumn("error", err)
+    turbulence = F.when(F.col("has_turbulence"), F.col("turbulence")).when(F.col("has_air"), F.col("air"))
     if raise_errors:
-        d = d.withColumn("error", F.when(err.isNotNull(), F.raise_error(err)).otherwise(F.lit(None).cast("string")))
-    return d.withColumns(
+        # Part of a column that every user reads, so that no pruning drops the check.
+        turbulence = F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).cast("double")).otherwise(turbulence)
+    return df.withColumn("error", err).withColumns(
         {
             "bottom": F.when(F.col("has_bottom"), F.col("bottom")).when(up, deepest),
             "surface": F.when(F.col("has_surface"), F.col("surface")).when(~up, F.lit(0.0)),
-            "turbulence": F.when(F.col("has_turbulence"), F.col("turbulence")).when(F.col("has_air"), F.col("air")),
+            "turbulence": turbulence,
         }
     )
 
@@ -204,8 +205,8 @@ def line_from_probability(p, side: str, depths) -> Column:
     With no such cell the deepest depth is taken.
     """
     over = A.above(p, 0.5)
-    i = A.last_index(over) if side == "above" else A.first_index(over)
-    return F.element_at(A.col(depths), F.when(i < 0, F.lit(-1)).otherwise(i + 1))
+    pick = (lambda o: A.last_index(o)) if side == "above" else (lambda o: A.first_index(o))
+    return F.coalesce(F.get(A.col(depths), A.let(over, pick)), F.element_at(A.col(depths), -1))
 
 
 def optimal_limits(df: DataFrame, key: Sequence[str] = KEY) -> DataFrame:

@@ -165,7 +165,7 @@ def _stretches(cands: DataFrame, near: DataFrame, key, idx, before: int, after:
 
 
 def find_passive(df: DataFrame, threshold: float | None = 25.0, deviation: float | None = None, n_use: int | None = N_USE,
-                 key: Sequence[str] = KEY, idx: str = "ping_index", window: int = 1024, rows: int | None = None) -> DataFrame:
+                 key: Sequence[str] = KEY, idx: str = "ping_index", window: int = 128, rows: int | None = None) -> DataFrame:
     """Passive stretches as half-open [start, end) index ranges.
 
     ``deviation`` sets the threshold to that many interquartile ranges of the steps.
@@ -206,7 +206,7 @@ def clusters(df: DataFrame, threshold_init: float | None = None, deviation: floa
 
 def find_passive_v2(df: DataFrame, threshold_inner: float | None = None, threshold_init: float | None = None,
                     deviation: float | None = None, n_use: int | None = N_USE, sigma_depth: float = 0, sigma_time: float = 1,
-                    key: Sequence[str] = KEY, idx: str = "ping_index", window: int = 1024, rows: int | None = None) -> DataFrame:
+                    key: Sequence[str] = KEY, idx: str = "ping_index", window: int = 128, rows: int | None = None) -> DataFrame:
     """Passive stretches with smoothed candidates and a separate inner threshold (35 by default)."""
     if threshold_inner is not None and deviation is not None:
         raise ValueError("set only one of threshold_inner and deviation")

@@ -323,7 +323,7 @@ def patch_contours(df: DataFrame, mask: str = "mask_patches", min_area: float =
     depth = lambda y: F.col("_a") + F.col(y) * (F.col("_b") - F.col("_a")) / (F.col("_n") - 1)
     pieces = pieces.select(*key, F.col("patch.c").alias("pc"), F.col("patch.l").alias("pl"), "x0", "y0", "x1", "y1", "t0", depth("y0").alias("d0"), "t1", depth("y1").alias("d1"))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*key).schema.fields)
-    schema = f"{fields}, pc long, pl int, part int, area double, area_ts double, x_first double, y_first double, points array<struct<ts_s:double,depth:double>>"
+    schema = f"{fields}, pc long, pl int, part int, area double, area_ts double, x_first double, y_first double, x_low double, points array<struct<ts_s:double,depth:double>>"
 
     def trace(pdf: pd.DataFrame) -> pd.DataFrame:
         where = {(x, y): (t_, d_) for x, y, t_, d_ in zip(pdf["x0"], pdf["y0"], pdf["t0"], pdf["d0"])}
@@ -333,10 +333,10 @@ def patch_contours(df: DataFrame, mask: str = "mask_patches", min_area: float =
             xy = np.array(line)
             td = np.array([where[p] for p in line])
             rows_.append(
-                (*[pdf[c].iloc[0] for c in key], pdf["pc"].iloc[0], pdf["pl"].iloc[0], k, shoelace(xy), shoelace(td - td[0]), xy[0, 0], xy[0, 1],
+                (*[pdf[c].iloc[0] for c in key], pdf["pc"].iloc[0], pdf["pl"].iloc[0], k, shoelace(xy), shoelace(td - td[0]), xy[0, 0], xy[0, 1], np.ceil(xy[:, 0].min()),
                  [{"ts_s": p, "depth": q} for p, q in td])
             )
-        return pd.DataFrame(rows_, columns=[*key, "pc", "pl", "part", "area", "area_ts", "x_first", "y_first", "points"])
+        return pd.DataFrame(rows_, columns=[*key, "pc", "pl", "part", "area", "area_ts", "x_first", "y_first", "x_low", "points"])
 
     c = pieces.groupBy(*key, "pc", "pl").applyInPandas(trace, schema)
     c = cut(c.where(F.col("area") >= min_area).drop("part"), "contours")
@@ -347,6 +347,7 @@ def patch_contours(df: DataFrame, mask: str = "mask_patches", min_area: float =
         F.col("number").cast("long").alias("number"),
         "area",
         "area_ts",
+        F.col("x_low").cast("long").alias("first"),
         F.size("points").alias("n_points"),
         F.array_min(F.transform("points", lambda p: p["ts_s"])).alias("ts_start"),
         F.array_max(F.transform("points", lambda p: p["ts_s"])).alias("ts_end"),

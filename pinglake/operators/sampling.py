@@ -39,7 +39,8 @@ def log_uniform_scale(u: Column, max_factor: float) -> Column:
     return F.exp(F.log(F.lit(float(max_factor))) * (2 * u - 1))
 
 
-def hash_rank(df: DataFrame, by: Sequence[str], seed: int, key: Sequence[str], out: str = "rank", rows: int | None = None) -> DataFrame:
+def hash_rank(df: DataFrame, by: Sequence[str], seed: int, key: Sequence[str], out: str = "rank", rows: int | None = None,
+              total: str | None = None) -> DataFrame:
     """0-based position of each row in the seeded shuffle of its group.
 
     The order is that of the hash. It is even, so slices of its range are blocks of about
@@ -48,8 +49,8 @@ def hash_rank(df: DataFrame, by: Sequence[str], seed: int, key: Sequence[str], o
     by = list(by)
     d = df.withColumn("_u", uniform(seed, key, "shuffle")).withColumn("_h", _hash(seed, key, "shuffle"))
     if not by:
-        return dense_index(d.withColumn("_all", F.lit(0)), ["_all"], ["_u", "_h"], out, rows).drop("_all", "_u", "_h")
-    return dense_index(d, by, ["_u", "_h"], out, rows).drop("_u", "_h")
+        return dense_index(d.withColumn("_all", F.lit(0)), ["_all"], ["_u", "_h"], out, rows, total).drop("_all", "_u", "_h")
+    return dense_index(d, by, ["_u", "_h"], out, rows, total).drop("_u", "_h")
 
 
 def split(df: DataFrame, key: Sequence[str], seed: int = 1, strata: Sequence[str] = (), share: float = 0.1, rounded: bool = True) -> DataFrame:
@@ -58,12 +59,9 @@ def split(df: DataFrame, key: Sequence[str], seed: int = 1, strata: Sequence[str
     Test and validate take ``share`` of the rows each, rounded half to even or cut down;
     validate comes last in the shuffle.
     """
-    strata = list(strata)
-    d = hash_rank(df, strata, seed, key, "_r")
-    n = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n"))
+    d = hash_rank(df, list(strata), seed, key, "_r", total="_n")
     size = F.col("_n") * share
     k = (F.bround(size) if rounded else F.floor(size + 1e-9)).cast("long")
-    d = d.join(n, strata) if strata else d.crossJoin(F.broadcast(n))  # one row
     part = F.when(F.col("_r") < F.col("_n") - 2 * k, "train").when(F.col("_r") < F.col("_n") - k, "test").otherwise("validate")
     return d.withColumn("part", part).drop("_r", "_n")
 
@@ -86,9 +84,8 @@ def interleave(df: DataFrame, dataset: str, key: Sequence[str], seed: int = 1, o
     A row's place is its position's share of its own data set. Proportions stay within one
     row of the sizes' ratio; ties go by data set name.
     """
-    d = hash_rank(df, [dataset], seed, key, "_r")
-    n = df.groupBy(dataset).agg(F.count(F.lit(1)).alias("_n"))
-    d = d.join(n, dataset).withColumn("_at", (F.col("_r") + 0.5) / F.col("_n")).withColumn("_all", F.lit(0))
+    d = hash_rank(df, [dataset], seed, key, "_r", total="_n")
+    d = d.withColumn("_at", (F.col("_r") + 0.5) / F.col("_n")).withColumn("_all", F.lit(0))
     return dense_index(d, ["_all"], ["_at", dataset], out).drop("_all", "_r", "_n", "_at")
 
 

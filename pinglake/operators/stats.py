@@ -47,7 +47,7 @@ def dataset_statistics(df: DataFrame, max_depth: float = 70, by: Sequence[str] =
                        rows: int | None = None) -> DataFrame:
     """Each segment statistic over all segments: mean, extremes, standard error, relative error.
 
-    ``variance`` is the mean square about the mean of segment means, a second pass.
+    ``variance`` is the mean square about the mean of segment means.
     """
     s = cut(segment_statistics(df, max_depth, by, idx, rows), "segment-stats")
     p = lambda x: F.get("percentiles", F.lit(PERCENTILES.index(x)))
@@ -56,9 +56,11 @@ def dataset_statistics(df: DataFrame, max_depth: float = 70, by: Sequence[str] =
         "idr": p(90) - p(10), "i7r": p(93) - p(7), "std25": F.col("std25"),
     }
     long = s.select(F.explode(F.array(*[F.struct(F.lit(k).alias("name"), v.alias("x")) for k, v in est.items()])).alias("_e")).select("_e.*")
-    centre = s.agg(F.avg("mean").alias("_m"))
-    var = _cells(df, max_depth, by, idx).crossJoin(F.broadcast(centre))  # one row, one number
-    var = var.groupBy(*by).agg(F.avg(F.pow(F.col("v") - F.col("_m"), 2)).alias("x")).select(F.lit("variance").alias("name"), "x")
+    # One number reaches the driver. A segment's mean square about it follows from the
+    # segment's own mean and spread, so the cells are not read again.
+    m = s.agg(F.avg("mean")).first()[0]
+    spread = F.pow("stdev", F.lit(2)) + F.pow(F.col("mean") - F.lit(m), F.lit(2))
+    var = s.select(F.lit("variance").alias("name"), spread.alias("x"))
     sem = F.stddev_samp("x") / F.sqrt(F.count("x"))
     return long.unionByName(var).groupBy("name").agg(
         F.avg("x").alias("mean"), F.min("x").alias("low"), F.max("x").alias("high"), sem.alias("sem"),

@@ -88,3 +88,20 @@ def cut(df, name: str = "stage"):
     path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
+
+
+def ensure(spark: SparkSession, key: tuple, build) -> str:
+    """Path of a table or folder written once per application; ``build`` writes it and says where."""
+    k = (spark.sparkContext.applicationId, *key)
+    if k not in _WRITTEN or not exists(spark, _WRITTEN[k]):
+        _WRITTEN[k] = build()
+    return _WRITTEN[k]
+
+
+_WRITTEN: dict[tuple, str] = {}
