@@ -321,7 +321,16 @@ def _(t):
     return r.select("transect_id", "branch", "error", F.round("crop_lo", 6).alias("crop_lo"), F.round("crop_hi", 6).alias("crop_hi"))
 
 
-@query("r9_random_grid")
+@query(
+    "r9_random_grid", "series",
+    f""",
+n AS (SELECT transect_id, count(*) AS n FROM series GROUP BY 1),
+k AS (SELECT transect_id, n, unnest(range(0, 40)) AS k FROM n),
+g AS (SELECT transect_id, {_u(13, ['transect_id', 'k'], 'x')} * (n - 1) AS x FROM k),
+o AS (SELECT *, row_number() OVER (PARTITION BY transect_id ORDER BY x) - 1 AS i FROM g)
+SELECT o.transect_id, i AS ping_index, round(x, 6) AS position, round(a.signal + (coalesce(b.signal, a.signal) - a.signal) * (x - floor(x)), 6) AS signal
+FROM o JOIN series a ON a.transect_id = o.transect_id AND a.ping_index = floor(x) LEFT JOIN series b ON b.transect_id = o.transect_id AND b.ping_index = floor(x) + 1""",
+)
 def _(t):
     return sampling.resample_time(t.series, 13, 40).select(*PK, F.round("position", 6).alias("position"), F.round("signal", 6).alias("signal"))
 

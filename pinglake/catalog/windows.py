@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..operators import grid, lines, passive, runs, segments, smooth
-from .registry import query
+from ..fixtures import CTE
+from .registry import SQL, query
 
 PK = ["transect_id", "ping_index"]
 KEY = ["transect_id"]
@@ -269,16 +270,6 @@ def _(t):
     return passive.candidates(t.echo).select(*PK, "is_start", "is_end")
 
 
-@query("w12_find_passive")
-def _(t):
-    return passive.find_passive(t.echo)
-
-
-@query("w12_find_passive_deviation")
-def _(t):
-    return passive.find_passive(t.echo, threshold=None, deviation=1.0)
-
-
 _GAUSS = smooth.gaussian_weights(1.0)
 
 
@@ -306,12 +297,63 @@ def _(t):
     return passive.clusters(t.echo).select(*PK, "is_start", "is_end")
 
 
-@query("w13_find_passive_v2")
+# The greedy reading in SQL. ``cand`` lists candidate starts and ends, ``th`` the threshold per
+# recording. Where a start's stretch ends does not depend on what was read before, so the
+# reading is a chain over starts.
+def _stretch_sql(before, after):
+    return f""",
+nn AS (SELECT transect_id, max(ping_index) + 1 AS n FROM echo GROUP BY 1),
+x AS (SELECT transect_id, ping_index AS i, j, v FROM samp WHERE j < 38),
+fe AS (SELECT transect_id, min(CASE WHEN is_end THEN ping_index END) AS e0, min(CASE WHEN is_start THEN ping_index END) AS s0 FROM cand GROUP BY 1),
+ld AS (SELECT transect_id, e0 FROM fe WHERE e0 IS NOT NULL AND (s0 IS NULL OR e0 < s0)),
+st AS (SELECT c.transect_id, ping_index AS s FROM cand c LEFT JOIN ld USING (transect_id) WHERE is_start AND (e0 IS NULL OR ping_index > e0)),
+fw AS (SELECT st.transect_id, s, b.i FROM st JOIN x a ON a.transect_id = st.transect_id AND a.i = greatest(0, s - {before}) JOIN x b ON b.transect_id = st.transect_id AND b.i >= s AND b.j = a.j
+       JOIN th ON th.transect_id = st.transect_id GROUP BY ALL HAVING quantile_cont(a.v - b.v, 0.5) < any_value(thr)),
+en AS (SELECT st.transect_id, st.s, coalesce(min(fw.i), any_value(n)) AS e FROM st JOIN nn USING (transect_id) LEFT JOIN fw ON fw.transect_id = st.transect_id AND fw.s = st.s GROUP BY 1, 2),
+nx AS (SELECT a.transect_id, a.s, a.e, min(b.s) AS nxt FROM en a LEFT JOIN en b ON b.transect_id = a.transect_id AND b.s > a.e GROUP BY ALL),
+ch AS (SELECT transect_id, s, e, nxt FROM nx WHERE (transect_id, s) IN (SELECT (transect_id, min(s)) FROM nx GROUP BY transect_id)
+       UNION ALL SELECT nx.transect_id, nx.s, nx.e, nx.nxt FROM ch JOIN nx ON nx.transect_id = ch.transect_id AND nx.s = ch.nxt),
+bw AS (SELECT ch.transect_id, ch.s, b.i FROM ch JOIN nn USING (transect_id) JOIN x a ON a.transect_id = ch.transect_id AND a.i = least(n - 1, e + {after}) JOIN x b ON b.transect_id = ch.transect_id AND b.i < e AND b.j = a.j
+       JOIN th ON th.transect_id = ch.transect_id WHERE e < n GROUP BY ALL HAVING quantile_cont(a.v - b.v, 0.5) < any_value(thr)),
+ws AS (SELECT ch.transect_id, ch.s, ch.e, CASE WHEN ch.e >= any_value(n) THEN ch.s ELSE coalesce(least(ch.s, max(bw.i) + 1), 0) END AS a
+       FROM ch JOIN nn USING (transect_id) LEFT JOIN bw ON bw.transect_id = ch.transect_id AND bw.s = ch.s GROUP BY 1, 2, 3
+       UNION ALL SELECT transect_id, 0, e0, 0 FROM ld),
+mk AS (SELECT *, CASE WHEN a <= lag(e) OVER (PARTITION BY transect_id ORDER BY s) THEN 0 ELSE 1 END AS nw FROM ws),
+gr AS (SELECT *, sum(nw) OVER (PARTITION BY transect_id ORDER BY s) AS g FROM mk)
+SELECT transect_id, CAST(arg_min(a, s) AS BIGINT) AS start, CAST(max(e) AS BIGINT) AS "end" FROM gr GROUP BY transect_id, g"""
+
+
+_V1 = "WITH RECURSIVE " + CTE["samp"] + _STEP
+_FIXED = ", th AS (SELECT DISTINCT transect_id, {thr}::DOUBLE AS thr FROM echo)"
+_CAND = ", cand AS (SELECT md.transect_id, ping_index, step < -thr AS is_start, step > thr AS is_end FROM md JOIN th USING (transect_id) WHERE step < -thr OR step > thr)"
+_IQR = ", th AS (SELECT transect_id, quantile_cont(step, 0.75) - quantile_cont(step, 0.25) AS thr FROM md GROUP BY 1)"
+
+
+@query("w12_find_passive", sql=_V1 + _FIXED.format(thr=25) + _CAND + _stretch_sql(1, 0))
+def _(t):
+    return passive.find_passive(t.echo)
+
+
+@query("w12_find_passive_deviation", sql=_V1 + _IQR + _CAND + _stretch_sql(1, 0))
+def _(t):
+    return passive.find_passive(t.echo, threshold=None, deviation=1.0)
+
+
+_V2 = SQL["w13_passive_clusters"].replace("WITH ", "WITH RECURSIVE ", 1)
+_V2 = _V2.replace("\nSELECT transect_id, arg_min(ping_index", ",\ncand AS (SELECT transect_id, arg_min(ping_index") + ")" + _FIXED.format(thr=35) + _stretch_sql(2, 1)
+
+
+@query("w13_find_passive_v2", sql=_V2)
 def _(t):
     return passive.find_passive_v2(t.echo)
 
 
-@query("a22_compare_finders")
+@query(
+    "a22_compare_finders",
+    sql=f"""SELECT transect_id, count(*) FILTER (WHERE xa = 1 AND xb = 1) AS n_both, count(*) FILTER (WHERE xb IS NULL) AS n_first_only, count(*) FILTER (WHERE xa IS NULL) AS n_second_only,
+       bool_and(xa IS NOT NULL AND xb IS NOT NULL) AS agree
+FROM (SELECT *, 1 AS xa FROM ({SQL['w12_find_passive']})) a FULL JOIN (SELECT *, 1 AS xb FROM ({SQL['w13_find_passive_v2']})) b USING (transect_id, start, "end") GROUP BY 1""",
+)
 def _(t):
     return passive.compare_finders(passive.find_passive(t.echo), passive.find_passive_v2(t.echo))
 
