@@ -154,12 +154,15 @@ def above(values, threshold: float = 0.5) -> Column:
 
 def set_runs(flags) -> Column:
     """Runs of set flags along an array: array of (first, last) positions, both included."""
-    f = col(flags)
-    n = F.size(f)
-    idx = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.expr("cast(array() as array<int>)"))
-    on = F.filter(idx, lambda i: F.get(f, i) & ~F.coalesce(F.get(f, i - 1), F.lit(False)))
-    off = F.filter(idx, lambda i: F.get(f, i) & ~F.coalesce(F.get(f, i + 1), F.lit(False)))
-    return F.zip_with(on, off, lambda a, b: F.struct(a.alias("first"), b.alias("last")))
+
+    def runs(f):
+        n = F.size(f)
+        idx = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+        on = F.filter(idx, lambda i: F.get(f, i) & ~F.coalesce(F.get(f, i - 1), F.lit(False)))
+        off = F.filter(idx, lambda i: F.get(f, i) & ~F.coalesce(F.get(f, i + 1), F.lit(False)))
+        return F.zip_with(on, off, lambda a, b: F.struct(a.alias("first"), b.alias("last")))
+
+    return let(col(flags), runs)
 
 
 def squash_short_runs(flags, max_gap) -> Column:
@@ -194,15 +197,14 @@ def resample_linear(values, n) -> Column:
 
 def resample_nearest(values, n) -> Column:
     """Values resized to n cells, nearest cell under the pixel-centre map (halves go up)."""
-    v = col(values)
-    m = F.size(v)
     n = n if isinstance(n, Column) else F.lit(n)
-    return F.when(m == n, v).otherwise(
-        F.transform(
-            F.sequence(F.lit(0), n - 1),
-            lambda j: F.get(v, F.least(m - 1, F.floor((j + 0.5) * m / n).cast("int"))),
-        )
-    )
+
+    def resized(v):
+        m = F.size(v)
+        at = lambda j: F.get(v, F.least(m - 1, F.floor((j + 0.5) * m / n).cast("int")))
+        return F.when(m == n, v).otherwise(F.transform(F.sequence(F.lit(0), n - 1), at))
+
+    return let(col(values), resized)
 
 
 def regrid_keep_missing(values, src_start, src_stop, dst_start, dst_stop, dst_n, threshold: float = 0.0) -> Column:

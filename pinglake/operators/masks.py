@@ -63,13 +63,16 @@ def drop_thin(mask) -> Column:
 
     Positions outside the grid count as set.
     """
-    m = A.col(mask)
-    n = F.size(m)
 
-    def at(i):
-        return F.when((i < 0) | (i >= n), F.lit(True)).otherwise(F.get(m, i))
+    def kept(m):
+        n = F.size(m)
 
-    return F.transform(m, lambda x, i: x & (at(i - 2) | at(i + 2)))
+        def at(i):
+            return F.when((i < 0) | (i >= n), F.lit(True)).otherwise(F.get(m, i))
+
+        return F.transform(m, lambda x, i: x & (at(i - 2) | at(i + 2)))
+
+    return A.let(A.col(mask), kept)
 
 
 def _fill(arr, lo, hi, value, when) -> Column:
@@ -150,7 +153,8 @@ def remove_line_offset(df: DataFrame, turbulence: float = 0.0, bottom: float = 0
         return F.zip_with(c, freed, lambda p, f: p | f)
 
     def touches(freed, c, step):
-        return F.exists(F.transform(freed, lambda f, i: f & F.coalesce(F.get(c, i + step), F.lit(False))), lambda x: x)
+        hits = lambda p: F.transform(freed, lambda f, i: f & F.coalesce(F.get(p, i + step), F.lit(False)))
+        return F.exists(A.let(F.col(c), hits), lambda x: x)
 
     if turbulence:
         d = d.withColumns({"_t": F.col("turbulence"), "_to": F.col("turbulence_original")}).withColumns(
