@@ -6,15 +6,16 @@ can be repeated anywhere.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-from ..session import cut
+from ..session import block_rows, cut
 from .asof import linear_between
-from .blocks import dense_index, scan, value_block
+from .blocks import BLOCK, dense_index, scan, value_block
 from .quantiles import quantiles
 from .smooth import gaussian_time
 
@@ -49,10 +50,25 @@ def hash_rank(df: DataFrame, by: Sequence[str], seed: int, key: Sequence[str], o
     by = list(by)
     d = df.withColumn("_u", uniform(seed, key, "shuffle")).withColumn("_h", _hash(seed, key, "shuffle"))
     if not by:
-        return dense_index(d.withColumn("_all", F.lit(0)), ["_all"], ["_u", "_h"], out, rows, total).drop("_all", "_u", "_h")
+        return _overall_index(d, ["_u", "_h"], df.count(), out, rows, total).drop("_u", "_h")
     return dense_index(d, by, ["_u", "_h"], out, rows, total).drop("_u", "_h")
 
 
+def _overall_index(df: DataFrame, order: Sequence[str], n: int, out: str, rows: int | None = None, total: str | None = None) -> DataFrame:
+    """0-based position over all rows; ``order[0]`` is spread evenly over [0, 1).
+
+    The slices follow from the row count alone, so only counts per slice are put in order
+    in one place.
+    """
+    slices = max(1, math.ceil(n / (rows or block_rows(df.sparkSession))))
+    d = df.withColumn(BLOCK, F.least(F.floor(F.col(order[0]) * slices), F.lit(slices - 1)).cast("long"))
+    counts = d.groupBy(BLOCK).agg(F.count(F.lit(1)).alias("_n"))
+    past = Window.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(BLOCK, F.coalesce(F.sum("_n").over(past), F.lit(0)).alias("_before"))
+    d = d.join(counts, BLOCK).withColumn(out, F.col("_before") + F.row_number().over(Window.partitionBy(BLOCK).orderBy(*order)) - 1)
+    return (d.withColumn(total, F.lit(n)) if total else d).drop(BLOCK, "_before")
+
+
 def split(df: DataFrame, key: Sequence[str], seed: int = 1, strata: Sequence[str] = (), share: float = 0.1, rounded: bool = True) -> DataFrame:
     """Train / test / validate by seeded shuffle within each stratum: column ``part``.
 
@@ -85,8 +101,8 @@ def interleave(df: DataFrame, dataset: str, key: Sequence[str], seed: int = 1, o
     row of the sizes' ratio; ties go by data set name.
     """
     d = hash_rank(df, [dataset], seed, key, "_r", total="_n")
-    d = d.withColumn("_at", (F.col("_r") + 0.5) / F.col("_n")).withColumn("_all", F.lit(0))
-    return dense_index(d, ["_all"], ["_at", dataset], out).drop("_all", "_r", "_n", "_at")
+    d = d.withColumn("_at", (F.col("_r") + 0.5) / F.col("_n"))
+    return _overall_index(d, ["_at", dataset], df.count(), out).drop("_r", "_n", "_at")
 
 
 def evenly_spaced(df: DataFrame, position: str, every: int, at_most: int = 32) -> DataFrame:

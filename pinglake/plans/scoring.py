@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -23,11 +24,12 @@ OVERLAP = 32  # fixed value: pings of context on either side
 _LOADED: dict[str, Callable] = {}
 
 
-def _model(name: str, load: Callable[[], Callable]) -> Callable:
-    """The scorer of this worker, loaded once."""
-    if name not in _LOADED:
-        _LOADED[name] = load()
-    return _LOADED[name]
+def _model(token: str, load: Callable[[], Callable]) -> Callable:
+    """The scorer of this worker, loaded once per call of ``score``."""
+    if token not in _LOADED:
+        _LOADED.clear()  # a worker keeps one model
+        _LOADED[token] = load()
+    return _LOADED[token]
 
 
 def prepare_segments(df: DataFrame, height: int = 64, facing: str = "auto", min_depth: float | Column | None = None, max_depth: float | Column | None = None,
@@ -54,7 +56,7 @@ def prepare_segments(df: DataFrame, height: int = 64, facing: str = "auto", min_
     return segments.pad_in_time(d, overlap, "reflect", "diff", key=PART)
 
 
-def score(df: DataFrame, load: Callable[[], Callable[[np.ndarray], dict]], outputs: dict[str, str], name: str = "model", **options) -> DataFrame:
+def score(df: DataFrame, load: Callable[[], Callable[[np.ndarray], dict]], outputs: dict[str, str], **options) -> DataFrame:
     """Score every recording with a user function.
 
     ``load()`` returns the scorer ``f(signals[n, d]) -> {column: array of n}``; it is called
@@ -65,11 +67,12 @@ def score(df: DataFrame, load: Callable[[], Callable[[np.ndarray], dict]], outpu
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.select("transect_id", "ping_index").schema.fields)
     fixed = "ts_s double, depth_start double, depth_stop double, depth_step double, is_upfacing boolean"
     schema = f"{fields}, {fixed}, " + ", ".join(f"{k} {v}" for k, v in outputs.items())
+    token = uuid.uuid4().hex
     keep = ["transect_id", "ping_index", "ts_s", "depth_start", "depth_stop", "depth_step", "is_upfacing"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ping_index").reset_index(drop=True)
-        got = _model(name, load)(np.stack(pdf["sv"].to_numpy()))
+        got = _model(token, load)(np.stack(pdf["sv"].to_numpy()))
         own = (~(pdf["is_pad"] | pdf["is_extra"])).to_numpy()
         out = pdf.loc[own, keep].reset_index(drop=True)
         for c in outputs:
@@ -93,7 +96,7 @@ def add_lines(df: DataFrame, cond: str = "") -> DataFrame:
     )
 
 
-def score_to_lines(df: DataFrame, load: Callable, name: str = "model", autocrop: float = 0.35, min_depth: float | None = None,
+def score_to_lines(df: DataFrame, load: Callable, autocrop: float = 0.35, min_depth: float | None = None,
                    max_depth: float | None = None, prob_options: dict | None = None, **options) -> DataFrame:
     """Scores, probabilities, line depths and flags; recordings with much empty depth twice.
 
@@ -104,7 +107,7 @@ def score_to_lines(df: DataFrame, load: Callable, name: str = "model", autocrop:
     outputs = {"logits": "array<array<double>>"}
 
     def run(d, lo, hi):
-        s = score(d, load, outputs, name, min_depth=lo, max_depth=hi, **options)
+        s = score(d, load, outputs, min_depth=lo, max_depth=hi, **options)
         return add_lines(probs.probabilities(s, **(prob_options or {})))
 
     first = cut(run(df, min_depth, max_depth), "scored")
