@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -23,8 +25,34 @@ _SETTINGS = {
 }
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers, once per application.
+
+    Functions are pickled by name, so a worker must be able to import the package even when
+    only the driver has it on its path. Spark serves the archive from the driver.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        root = os.path.dirname(os.path.abspath(__file__))
+        if os.path.isdir(root):  # else it was itself imported from an archive that workers have
+            path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="pinglake-")), "pinglake.zip")
+            with zipfile.ZipFile(path, "w") as z:
+                for folder, _, names in os.walk(root):
+                    for n in sorted(names):
+                        if n.endswith(".py"):
+                            f = os.path.join(folder, n)
+                            z.write(f, os.path.join("pinglake", os.path.relpath(f, root)))
+            spark.sparkContext.addPyFile(path)
+        _SHIPPED.add(app)
+    return spark
+
+
+_SHIPPED: set[str] = set()
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Apply the settings the operators rely on to a running session."""
+    ship(spark)
     for k, v in _SETTINGS.items():
         spark.conf.set(k, v)
     if spark.sparkContext.master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == "200":
