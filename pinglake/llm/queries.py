@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import bpe, quality_rules
 
-QUERIES = {"op9_quality_rules": quality_rules.query}
+QUERIES = {"op3_bpe": bpe.query, "op9_quality_rules": quality_rules.query}
 SQL = {"op9_quality_rules": quality_rules.SQL}
