@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, pii, quality_rules
+from . import bpe, chat, mixing, pii, quality_rules
 
-QUERIES = {"op3_bpe": bpe.query, "op4_chat_formatting": chat.query, "op8_pii": pii.query, "op9_quality_rules": quality_rules.query}
+QUERIES = {"op1_mixing": mixing.query, "op3_bpe": bpe.query, "op4_chat_formatting": chat.query, "op8_pii": pii.query, "op9_quality_rules": quality_rules.query}
 SQL = {"op4_chat_formatting": chat.SQL, "op9_quality_rules": quality_rules.SQL}
