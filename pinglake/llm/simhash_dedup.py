@@ -60,13 +60,14 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Rows (doc_id, print): the fingerprint as a signed 64-bit integer."""
+    """Rows (doc_id, t, print): the fingerprint as a signed 64-bit integer; t is a hash of the text."""
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
-        found = np.array([fingerprint(x) for x in texts(b.column(1))], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(found)], names=["doc_id", "print"])
+        found = np.array([fingerprint(x) for x in texts(b.column(2))], np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found)], names=["doc_id", "t", "print"])
 
-    return map_batches(df, [F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")], one, "doc_id long, print long", 200)
+    columns = [F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), F.col(text).cast("string").alias("text")]
+    return map_batches(df, columns, one, "doc_id long, t long, print long", 200)
 
 
 def tables(blocks: int, radius: int = RADIUS, width: int = 64) -> list[int]:
@@ -143,17 +144,28 @@ def links(distinct: DataFrame, radius: int = RADIUS, blocks: int | None = None)
 
 
 def near_duplicates(df: DataFrame, radius: int = RADIUS, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Rows (doc_id, print, component_id), one for each row of ``df``."""
+    """Rows (doc_id, t, print, root, component_id), one for each row of ``df``; root names the component."""
     prints = cut(fingerprints(df, text, key), "prints")
     nodes = cut(prints.groupBy("print").agg(F.min("doc_id").alias("first")), "distinct-prints")
     roots = components(links(nodes, radius))
     linked = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     members = nodes.join(linked, nodes["print"] == linked["node"], "left").withColumn("root", F.coalesce("root", "print"))
     first = members.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = members.select("print", "root").join(first, "root").select("print", "component_id")
+    of = members.select("print", "root").join(first, "root").select("print", "root", "component_id")
     return prints.join(of, "print")
 
 
+def keep_one(df: DataFrame, radius: int = RADIUS, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One row of ``df`` for each component: the one with the smallest id (null last), then the smallest hash of the text."""
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")
+    first = near_duplicates(df, radius, text, key).groupBy("root").agg(F.min(rank).alias("first"))
+    known = lambda c: F.coalesce(c.cast("long"), F.lit(-(1 << 63)))
+    stays = first.select(known(F.col("first.doc_id")).alias("_d"), F.col("first.t").alias("_t"))
+    rows = df.withColumns({"_d": known(F.col(key)), "_t": F.xxhash64(text)})
+    # Rows equal in id and text are told apart by nothing: any of them stays.
+    return rows.join(stays, ["_d", "_t"], "left_semi").dropDuplicates(["_d", "_t"]).drop("_d", "_t")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(documents(spark, sf_dir))
     return out.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
