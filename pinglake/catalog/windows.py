@@ -1,5 +1,7 @@
 """Ordered operators along recordings."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
@@ -249,13 +251,68 @@ def _(t):
     return d.select(*PK, "is_replaced", F.round("signal", 6).alias("signal"))
 
 
-@query("w10_remove_anomalies")
+def _median_list(xs, n, r):
+    """Running medians of a list, mirrored at its ends."""
+    k = f"CASE WHEN {n} = 1 THEN 0 ELSE (CASE WHEN pmod(k, 2 * ({n} - 1)) < {n} THEN pmod(k, 2 * ({n} - 1)) ELSE 2 * ({n} - 1) - pmod(k, 2 * ({n} - 1)) END) END"
+    k = re.sub(r"pmod\(k, (2 \* \(\w+ - 1\))\)", r"(((k % (\1)) + \1) % (\1))", k)
+    return f"list_transform(range(0, {n}), lambda i: list_aggregate(list_transform(range(i - {r}, i + {r} + 1), lambda k: {xs}[({k}) + 1]), 'quantile_cont', 0.5))"
+
+
+def _anomaly_rounds(src):
+    """``done``: one row per key with lists in order of index, after rounds of cleaning until nothing new or a state comes again.
+
+    ``src`` has columns key, i, x without NULL.
+    """
+    spread = lambda values, lo, hi, scale: f"(list_aggregate({values}, 'quantile_cont', {hi}) - list_aggregate({values}, 'quantile_cont', {lo})) / {scale}"
+    return f""",
+l0 AS (SELECT key, list(i ORDER BY i) AS ids, list(x ORDER BY i) AS xs, count(*) AS n FROM {src} GROUP BY key),
+l1 AS (SELECT *, {_median_list("xs", "n", 100)} AS ys FROM l0),
+l2 AS (SELECT *, list_transform(range(1, n + 1), lambda i: xs[i] - ys[i]) AS res FROM l1),
+l3 AS (SELECT *, list_transform(res, lambda v: abs(v) > 5 * sd) AS hit FROM (SELECT *, {spread("res", 0.25, 0.75, 1.35)} AS sd FROM l2)),
+rounds AS (
+  SELECT key, ids, n, list_transform(range(1, n + 1), lambda i: CASE WHEN hit[i] THEN ys[i] ELSE xs[i] END) AS xs, hit, ys, []::VARCHAR[] AS states, false AS ends, false AS settled FROM l3
+  UNION ALL
+  SELECT key, ids, n, xs, hit, ys, list_append(states, state), NOT live OR list_contains(states, state), NOT live FROM (
+    SELECT *, md5(xs::VARCHAR || hit::VARCHAR) AS state FROM (
+      SELECT key, ids, n, states, ys, live, hit, list_transform(range(1, n + 1), lambda i: CASE WHEN hit[i] THEN ys[i] ELSE xs[i] END) AS xs FROM (
+        SELECT key, ids, n, states, xs, ys, list_contains(now, true) AS live, list_transform(range(1, n + 1), lambda i: hit[i] OR coalesce(now[i], false)) AS hit FROM (
+          SELECT *, list_transform(res, lambda v: abs(v) > 4 * sd) AS now FROM (
+            SELECT *, {spread("list_filter(res, lambda v, i: NOT hit[i])", 0.10, 0.90, 2.56)} AS sd FROM (
+              SELECT *, list_transform(range(1, n + 1), lambda i: xs[i] - ys[i]) AS res FROM (
+                SELECT * EXCLUDE (ys), {_median_list("xs", "n", 15)} AS ys FROM rounds WHERE NOT ends)))))))),
+done AS (SELECT key, unnest(ids) AS i, unnest(xs) AS x, unnest(hit) AS hit, unnest(ys) AS y, settled FROM rounds WHERE ends)"""
+
+
+_ANOMALIES = f"""WITH RECURSIVE {CTE["series"]},
+src AS (SELECT transect_id AS key, ping_index AS i, signal AS x FROM series)
+{_anomaly_rounds("src")}
+SELECT key AS transect_id, i AS ping_index, round(x, 6) AS signal, hit AS is_replaced, settled FROM done"""
+
+
+@query("w10_remove_anomalies", None, _ANOMALIES)
 def _(t):
     d = smooth.remove_anomalies(t.series, "signal", thr=5, thr2=4)
     return d.select(*PK, F.round("signal", 6).alias("signal"), "is_replaced", "settled")
 
 
-@query("w11_fix_surface")
+_SURFACE = f"""WITH RECURSIVE {CTE["series"]},
+act AS (SELECT transect_id, ping_index, ts_s, signal, ts_s - lag(ts_s) OVER (PARTITION BY transect_id ORDER BY ping_index) AS dt FROM series WHERE NOT is_passive),
+q AS (SELECT transect_id, quantile_cont(dt, 0.975) AS q FROM act GROUP BY 1),
+sg AS (SELECT a.*, sum(CASE WHEN dt > q * 20 THEN 1 ELSE 0 END) OVER (PARTITION BY a.transect_id ORDER BY ping_index) AS seg FROM act a JOIN q USING (transect_id)),
+src AS (SELECT {{'t': transect_id, 's': seg}} AS key, ping_index AS i, signal AS x FROM sg)
+{_anomaly_rounds("src")},
+j AS (SELECT s.transect_id, s.ping_index, s.ts_s, s.is_passive, d.x, d.hit, d.settled, CASE WHEN d.y IS NOT NULL THEN {{'x': s.ts_s, 'y': d.y}} END AS p
+      FROM series s LEFT JOIN done d ON d.key.t = s.transect_id AND d.i = s.ping_index),
+b AS (SELECT *, last_value(p IGNORE NULLS) OVER (PARTITION BY transect_id ORDER BY ping_index) AS lo,
+             first_value(p IGNORE NULLS) OVER (PARTITION BY transect_id ORDER BY ping_index ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS hi FROM j),
+o AS (SELECT b.*, s.signal AS raw FROM b JOIN series s USING (transect_id, ping_index))
+SELECT transect_id, ping_index,
+  round(CASE WHEN NOT is_passive THEN x ELSE coalesce(CASE WHEN lo IS NULL THEN hi.y WHEN hi IS NULL THEN lo.y WHEN hi.x <= lo.x THEN lo.y
+    ELSE lo.y + (hi.y - lo.y) / (hi.x - lo.x) * (ts_s - lo.x) END, raw) END, 6) AS surface,
+  coalesce(hit, true) AS is_surrogate, coalesce(settled, true) AS settled FROM o"""
+
+
+@query("w11_fix_surface", None, _SURFACE)
 def _(t):
     d = smooth.fix_surface(t.series.withColumnRenamed("signal", "surface"))
     return d.select(*PK, F.round("surface", 6).alias("surface"), "is_surrogate", "settled")

@@ -34,25 +34,34 @@ def index_block(df: DataFrame, idx: str = "ping_index", rows: int | None = None)
     return df.withColumn(BLOCK, F.floor(F.col(idx) / F.lit(r)).cast("long"))
 
 
+# Cut points per recording that value_block takes from the data.
+SPLITS = 128
+
+
 def value_block(df: DataFrame, key: Sequence[str], x: str, rows: int | None = None) -> DataFrame:
-    """Add the block of an arbitrary order column: equal-width slices of its range.
+    """Add the block of an arbitrary order column, from cut points that the data give.
 
-    The slice count follows the row count of the recording. Equal values share a block.
+    A recording's range is cut at ``SPLITS`` approximate quantiles (one sketch per recording,
+    built before the shuffle), so far-off values do not crowd the others into one block. Up to
+    ``SPLITS`` blocks, neighbouring pieces are joined; beyond, each piece is cut again evenly.
+    Equal values share a block.
     """
     r = _rows(df, rows)
-    stats = df.groupBy(*key).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"), F.count(F.lit(1)).alias("_n"))
-    stats = stats.select(
-        *key,
-        F.col("_lo").cast("double").alias("_lo"),
-        (F.col("_hi").cast("double") - F.col("_lo").cast("double")).alias("_span"),
-        F.ceil(F.col("_n") / F.lit(r)).cast("long").alias("_slices"),
-    )
-    pos = F.floor((F.col(x).cast("double") - F.col("_lo")) / F.col("_span") * F.col("_slices"))
-    b = F.when(F.col("_span") > 0, F.least(pos, F.col("_slices") - 1)).otherwise(F.lit(0))
+    v = F.col(x).cast("double")
+    cuts = F.percentile_approx(v, [i / SPLITS for i in range(1, SPLITS)], 10000)
+    stats = df.groupBy(*key).agg(cuts.alias("_cuts"), F.min(v).alias("_lo"), F.max(v).alias("_hi"), F.ceil(F.count(F.lit(1)) / F.lit(r)).cast("long").alias("_blocks"))
+    piece = F.size(F.filter("_cuts", lambda c: c <= v)).cast("long")
+    lo = F.coalesce(F.get("_cuts", (F.col("_piece") - 1).cast("int")), F.col("_lo"))
+    hi = F.coalesce(F.get("_cuts", F.col("_piece").cast("int")), F.col("_hi"))
+    parts = F.ceil(F.col("_blocks") / SPLITS)
+    inner = F.when(hi > lo, F.least(F.floor((v - lo) / (hi - lo) * parts), parts - 1)).otherwise(F.lit(0))
+    few = F.floor(F.col("_piece") * F.col("_blocks") / SPLITS)
+    b = F.when(F.col("_blocks") <= 1, F.lit(0)).when(F.col("_blocks") <= SPLITS, few).otherwise(F.col("_piece") * parts + inner)
     return (
         df.join(stats, list(key), "left")
+        .withColumn("_piece", F.when(F.col("_blocks") > 1, piece).otherwise(F.lit(0)))
         .withColumn(BLOCK, F.coalesce(b, F.lit(0)).cast("long"))
-        .drop("_lo", "_span", "_slices")
+        .drop("_cuts", "_lo", "_hi", "_blocks", "_piece")
     )
 
 

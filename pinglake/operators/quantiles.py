@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from .blocks import BLOCK, value_block
 
-MAX_SLICES = 1 << 20
-
 
 def quantiles(df: DataFrame, key: Sequence[str], value: str, probs: Sequence[float], out: str = "q",
               rows: int | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pinglake.operators import asof, runs
-from pinglake.operators.blocks import dense_index, index_block, scan, shift
+from pinglake.operators.blocks import BLOCK, dense_index, index_block, scan, shift, value_block
 from pinglake.operators.quantiles import quantiles
 
 KEY = ["transect_id"]
@@ -178,3 +178,14 @@ def test_empty_input(spark):
     assert quantiles(df, KEY, "v", [0.5]).count() == 0
     assert runs.flag_runs(df, "f").count() == 0
     assert index_block(df).count() == 0
+
+
+@pytest.mark.parametrize("n,rows,far", [(20_000, 1_000, (10_000, 86_400.0)), (10_000, 100, (0, -1.6e9))])
+def test_far_values_do_not_fill_a_block(spark, n, rows, far):
+    """A gap of a day, or one time stamp at zero: no block takes over twice the rows wanted."""
+    at, by = far
+    x = F.col("id").cast("double")
+    x = F.when(F.col("id") >= at, x + by).otherwise(x) if by > 0 else F.when(F.col("id") == at, by).otherwise(x)
+    df = spark.range(n).select(F.lit(1).alias("transect_id"), x.alias("x"))
+    sizes = [r["count"] for r in value_block(df, KEY, "x", rows).groupBy(BLOCK).count().collect()]
+    assert sum(sizes) == n and max(sizes) <= 2 * rows
