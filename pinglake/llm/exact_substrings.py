@@ -5,11 +5,11 @@ Candidates come from anchors. In each 100-byte window the 32-byte string with th
 need comparing only with windows of an equal anchor. The windows of one anchor are a run, and the
 bytes they cover its context, of 200 bytes at most. Anchors that occur once are settled. Equal
 contexts are folded into their first occurrence, the others being copies of it. The distinct
-contexts of an anchor are cut to what any two share around it and sorted together in a suffix
+contexts of an anchor are cut to windows whose hash another one has and sorted together in a suffix
 array (see suffix_array): windows that stand next to each other there and have 100 bytes in common
-are one string, and all but its first occurrence are repeats. An anchor with very many distinct
-contexts, as at the edges of a passage that stands in a great many texts, is dealt out again window
-by window, since equal windows are then equal contexts.
+are one string, and all but its first occurrence are repeats. An anchor with more distinct contexts
+than a task should hold, as at the edges of a passage that stands in a great many texts, is dealt
+out again window by window, since equal windows are then equal contexts.
 
 Work is shuffled by anchor, never by passage or text group, with counts taken before. Bitmaps of
 fixed size spare rows and texts that cannot matter the shuffle; the joins after them are exact, so
@@ -37,15 +37,15 @@ from .suffix_array import suffix_array
 LENGTH = 100
 ANCHOR = 32
 SPAN = LENGTH - ANCHOR + 1  # places an anchor can have in a window
-# Distinct contexts of one anchor that are sorted together; those of greater anchors go by window.
-TOGETHER = 256
-# Bytes a suffix array is built over, about: contexts of several anchors share one.
-BLOCK = 1 << 15
+# Distinct contexts of one anchor that are sorted together, 6 MB at most; those of greater anchors
+# go by window.
+TOGETHER = 1 << 15
+# Bytes of contexts that are narrowed and sorted together, about: several anchors share a block.
+BLOCK = 1 << 18
 # Size of the bitmaps: 2 MB whatever the corpus.
 BITS = 1 << 24
 
-# A place in one number: 18 bits of the text's hash, 31 of the start, 7 each of the anchor's
-# distance from it and the number of windows.
+# A place in one number: 18 bits of the text's hash, 31 of the start, 7 of the number of windows.
 _T_BITS = 18
 
 
@@ -74,14 +74,14 @@ class Anchors:
         self.one, self.two = Rolling(21), Rolling(22)
 
     def of(self, data: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(anchor hash, context hash, start, lead, windows) of every anchor of a text."""
+        """(anchor hash, context hash, start, windows) of every anchor of a text."""
         parts = []
         step = 1 << 20
         for at in range(0, max(len(data) - LENGTH + 1, 0), step):
             parts.append(self._part(data[at : at + step + LENGTH - 1], at))
         if not parts:
             z = np.zeros(0, np.int64)
-            return z, z, z, z, z
+            return z, z, z, z
         return tuple(np.concatenate(x) for x in zip(*parts))
 
     def _part(self, data: np.ndarray, shift: int) -> tuple[np.ndarray, ...]:
@@ -92,8 +92,7 @@ class Anchors:
         start = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
         windows = np.diff(np.r_[start, len(place)])
         context = self.two.ranges(self.two.sums(data), start, start + windows - 1 + LENGTH)
-        p = place[start]
-        return hashes[p].view(np.int64), context.view(np.int64), start + shift, p - start, windows
+        return hashes[place[start]].view(np.int64), context.view(np.int64), start + shift, windows
 
 
 def _is_in(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -137,7 +136,7 @@ def _hashes(docs: DataFrame) -> DataFrame:
 
 
 def _places(docs: DataFrame, sent) -> DataFrame:
-    """(h, c, d, p) of the anchors that a bitmap lets pass; p packs the text's hash, start, lead and windows."""
+    """(h, c, d, p) of the anchors that a bitmap lets pass; p packs the text's hash, start and windows."""
     anchors = Anchors()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,9 +146,9 @@ def _places(docs: DataFrame, sent) -> DataFrame:
                 ds, ts = b.column(0).slice(lo, 500).to_numpy(), b.column(1).slice(lo, 500).to_numpy()
                 out: list[list[np.ndarray]] = [[], [], [], []]
                 for i in range(len(ds)):
-                    h, c, start, lead, windows = anchors.of(data[off[i] : off[i + 1]])
+                    h, c, start, windows = anchors.of(data[off[i] : off[i + 1]])
                     use = _is_in(sent.value, h)
-                    p = (ts[i] << 45) | (start[use] << 14) | (lead[use] << 7) | windows[use]
+                    p = (ts[i] << 38) | (start[use] << 7) | windows[use]
                     for to, x in zip(out, (h[use], c[use], np.full(use.sum(), ds[i]), p)):
                         to.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in out], names=["h", "c", "d", "p"])
@@ -158,36 +157,17 @@ def _places(docs: DataFrame, sent) -> DataFrame:
 
 
 def _t(p: Column) -> Column:
-    return F.shiftright(p, 45)
+    return F.shiftright(p, 38)
 
 
 def _start(p: Column) -> Column:
-    return F.shiftright(p, 14).bitwiseAND(F.lit((1 << 31) - 1))
+    return F.shiftright(p, 7).bitwiseAND(F.lit((1 << 31) - 1))
 
 
 def _windows(p: Column) -> Column:
     return p.bitwiseAND(F.lit(127))
 
 
-def _shared(a: bytes, b: bytes) -> int:
-    """Length of the common prefix."""
-    n = min(len(a), len(b))
-    if a[:n] == b[:n]:
-        return n
-    x = int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")
-    return n - (x.bit_length() + 7) // 8
-
-
-def _around(sides: list[bytes]) -> list[int]:
-    """How much of each string any other one begins with: its neighbours in sorted order tell."""
-    order = sorted(range(len(sides)), key=sides.__getitem__)
-    out = [0] * len(sides)
-    for i, j in zip(order, order[1:]):
-        n = _shared(sides[i], sides[j])
-        out[i], out[j] = max(out[i], n), max(out[j], n)
-    return out
-
-
 def repeats(contexts: list[tuple[tuple[int, int, int], bytes]]) -> list[tuple[int, int, int]]:
     """Windows that some window at a smaller place equals, as (d, t, start).
 
@@ -242,38 +222,70 @@ def _spans(starts: list[tuple[int, int, int]]) -> pa.RecordBatch:
 _SPAN_SCHEMA = "d long, t long, lo long, hi long"
 
 
-def _by_suffix_array(contexts: DataFrame) -> DataFrame:
-    """Repeated windows among the contexts (h, d, t, start, lead, bytes) of each anchor."""
+def _narrowed(contexts: list[tuple[tuple[int, int, int], bytes]], rolling: Rolling) -> tuple[list[tuple[tuple[int, int, int], bytes]], list[tuple[int, int, int]]]:
+    """Contexts cut to runs of windows whose hash another window has, and window starts that are copies already.
+
+    Runs with the same bytes are folded into the one at the smallest place; the windows of the
+    others are repeats. Windows left out have a hash of their own, so nothing equals them.
+    """
+    data = np.frombuffer(b"".join(c for _, c in contexts), np.uint8)
+    size = np.array([len(c) for _, c in contexts])
+    begin = np.cumsum(size) - size
+    n = size - LENGTH + 1
+    owner = np.repeat(np.arange(len(n)), n)
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + begin[owner]
+    keys = rolling.ranges(rolling.sums(data), at, at + LENGTH)
+    order = np.argsort(keys)
+    same = keys[order[1:]] == keys[order[:-1]]
+    hit = np.zeros(len(keys), bool)
+    hit[order[1:][same]] = True
+    hit[order[:-1][same]] = True
+    i = np.flatnonzero(hit)
+    if not len(i):
+        return [], []
+    cut_ = np.flatnonzero(np.r_[True, (i[1:] != i[:-1] + 1) | (owner[i[1:]] != owner[i[:-1]])])
+    folded: dict[bytes, tuple[int, int, int]] = {}
+    copies: list[tuple[int, int, int]] = []
+    for lo, hi in zip(i[cut_].tolist(), i[np.r_[cut_[1:], len(i)] - 1].tolist()):
+        (d, t, s), c = contexts[owner[lo]]
+        o, z = int(at[lo] - begin[owner[lo]]), int(at[hi] - begin[owner[lo]]) + LENGTH
+        place, run = (d, t, s + o), c[o:z]
+        first = folded.get(run)
+        if first is None:
+            folded[run] = place
+            continue
+        if place < first:
+            folded[run], place = place, first
+        copies += [(place[0], place[1], place[2] + k) for k in range(len(run) - LENGTH + 1)]
+    return [(place, run) for run, place in folded.items()], copies
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        anchor, group = None, []
 
-        def trimmed():
-            left, right = _around([c[:lead][::-1] for _, lead, c in group]), _around([c[lead + ANCHOR :] for _, lead, c in group])
-            for ((d, t, s), lead, c), a, z in zip(group, left, right):
-                if a + ANCHOR + z >= LENGTH:
-                    yield (d, t, s + lead - a), c[lead - a : lead + ANCHOR + z]
+def _by_suffix_array(contexts: DataFrame) -> DataFrame:
+    """Repeated windows among the contexts (h, d, t, start, bytes) of each anchor."""
+    rolling = Rolling(25)
+
+    def solved(held: list) -> pa.RecordBatch:
+        runs, copies = _narrowed(held, rolling)
+        return _spans(copies + (repeats(runs) if runs else []))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        size, anchor = 0, None
         for b in batches:
-            cols = [b.column(i).to_pylist() for i in range(6)]
-            for h, d, t, s, lead, c in zip(*cols):
+            for h, d, t, s, c in zip(*(b.column(i).to_pylist() for i in range(5))):
                 if h != anchor:
-                    for x in trimmed():
-                        held.append(x)
-                        size += len(x[1])
-                    anchor, group = h, []
+                    anchor = h
                     if size >= BLOCK:
-                        yield _spans(repeats(held))
+                        yield solved(held)
                         held, size = [], 0
-                group.append(((d, t, s), lead, c))
-        held += trimmed()
+                held.append(((d, t, s), c))
+                size += len(c)
         if held:
-            yield _spans(repeats(held))
+            yield solved(held)
 
     # Contexts of one anchor are next to each other, TOGETHER at most.
     dealt = contexts.repartition("h").sortWithinPartitions("h", "d", "t", "start")
-    return dealt.select("h", "d", "t", "start", "lead", "bytes").mapInArrow(run, _SPAN_SCHEMA)
+    return dealt.select("h", "d", "t", "start", "bytes").mapInArrow(run, _SPAN_SCHEMA)
 
 
 def _by_window(contexts: DataFrame) -> DataFrame:
@@ -312,8 +324,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     several = folded.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
     p = F.col("first.p")
-    open_ = folded.join(several, "h").select("h", F.col("first.d").alias("d"), _t(p).alias("t"), _start(p).alias("start"), F.shiftright(p, 7).bitwiseAND(F.lit(127)).alias("lead"), _windows(p).alias("windows"), (F.col("m") > TOGETHER).alias("many"))
-    asked = cut(open_.groupBy("d", "t").agg(F.collect_list(F.struct("h", "start", "lead", "windows", "many")).alias("asked")), "asked")
+    open_ = folded.join(several, "h").select("h", F.col("first.d").alias("d"), _t(p).alias("t"), _start(p).alias("start"), _windows(p).alias("windows"), (F.col("m") > TOGETHER).alias("many"))
+    asked = cut(open_.groupBy("d", "t").agg(F.collect_list(F.struct("h", "start", "windows", "many")).alias("asked")), "asked")
     texts_of = _only(docs.select("d", "t", "k", "text"), _bitmap(asked.select(F.xxhash64("d", "t").alias("k")), "k"), True)
     # Rows equal in id and text are one document.
     there = texts_of.join(asked, ["d", "t"])
@@ -328,11 +340,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                 n = len(made)
                 d, t = b.column(0)[i].as_py(), b.column(1)[i].as_py()
                 yield pa.RecordBatch.from_arrays(
-                    [a.field("h"), pa.array([d] * n, pa.int64()), pa.array([t] * n, pa.int64()), a.field("start"), a.field("lead"), a.field("many"), pa.array(made, pa.binary())],
-                    names=["h", "d", "t", "start", "lead", "many", "bytes"],
+                    [a.field("h"), pa.array([d] * n, pa.int64()), pa.array([t] * n, pa.int64()), a.field("start"), a.field("many"), pa.array(made, pa.binary())],
+                    names=["h", "d", "t", "start", "many", "bytes"],
                 )
 
-    contexts = there.select("d", "t", "text", "asked").mapInArrow(run, "h long, d long, t long, start long, lead long, many boolean, bytes binary")
+    contexts = there.select("d", "t", "text", "asked").mapInArrow(run, "h long, d long, t long, start long, many boolean, bytes binary")
     contexts = cut(contexts, "context-bytes")
     return copies.unionByName(_by_suffix_array(contexts.where(~F.col("many")).dropDuplicates(["h", "d", "t", "start"]))).unionByName(_by_window(contexts.where("many")))
 
