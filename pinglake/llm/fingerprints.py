@@ -149,18 +149,33 @@ def within(queries: DataFrame, everything: DataFrame, radius: int = RADIUS) -> D
 # The next document in order of ids ---------------------------------------------------------------
 
 
-def with_next(df: DataFrame, parts: int | None = None) -> DataFrame:
+PIECES = 128
+# Rows a range of ids has, about.
+RANGE_ROWS = 2000
+
+
+def _ranges(df: DataFrame, rows: int) -> Column:
+    """Number of an id's range, growing with the id: pieces between quantiles, each cut evenly; null ids come first."""
+    n, lo, hi = df.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
+    inner = -(-n // (rows * PIECES))
+    if lo is None or n <= rows:
+        return F.lit(0).cast("long")
+    cuts = sorted({int(x) for x in df.stat.approxQuantile("doc_id", [i / PIECES for i in range(1, PIECES)], 0.2 / PIECES)} - {lo})
+    edges = F.array(*(F.lit(x).cast("long") for x in [lo, *cuts, hi + 1]))
+    piece = F.size(F.filter(F.array(*(F.lit(x).cast("long") for x in cuts)).cast("array<bigint>"), lambda c: c <= F.col("doc_id")))
+    begin, end = F.get(edges, piece).cast("double"), F.get(edges, piece + 1).cast("double")
+    within = F.least(F.floor((F.col("doc_id") - begin) / (end - begin) * inner), F.lit(inner - 1))
+    return F.coalesce(piece * inner + within + 1, F.lit(0)).cast("long")
+
+
+def with_next(df: DataFrame, rows: int = RANGE_ROWS) -> DataFrame:
     """``df`` (doc_id, text) with next_text, the text of the row after it in order of (doc_id, text).
 
     Ids are cut into ranges with about equal numbers of rows, so that no task holds the whole
     order; the first row of each range is copied into the range before it, and the very first one
     into the last.
     """
-    parts = parts or min(1024, max(64, df.count() // 50_000))
-    cuts = sorted({int(x) for x in (df.stat.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else [])})
-    # The number of cut points not above an id; null ids come first.
-    part = F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<bigint>"), lambda c: c <= F.col("doc_id"))), F.lit(0)) if cuts else F.lit(0)
-    rows = df.select("doc_id", "text", F.coalesce(part, F.lit(0)).alias("part"))
+    rows = df.select("doc_id", "text", _ranges(df, rows).alias("part"))
     least = rows.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "text")).alias("first"))
     # A few rows, one per range: each goes to the range before it that has rows.
     order = W.orderBy(F.col("part").desc())
