@@ -161,7 +161,7 @@ def test_repeated_passages(spark, monkeypatch, together):
 
 
 def test_repeated_rows_and_missing_ids_of_passages(spark):
-    t = "".join(random.Random(8).choice("abcdefgh ") for _ in range(300))
+    t = "".join(random.Random(8).choices("abcdefgh ", k=300))
     df = spark.createDataFrame([(1, t), (1, t), (2, t), (None, t), (5, None)], "doc_id long, text string")
     got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in exact_substrings.remove(df).collect()), key=str)
     # The row without an id is first; rows equal in id and text are one document.
