@@ -1,9 +1,10 @@
 """Patches and whole flows."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-from ..operators import patches
+from ..operators import patches, probs
 from ..plans import decompose, evaluate, scoring
 from ..session import cut
 from .registry import query
@@ -29,6 +30,15 @@ m AS (SELECT s.transect_id, ping_index AS k, j, n.last, (ping_index % 12 BETWEEN
 f AS (SELECT *, m OR (transect_id % 3 <> 0 AND k % 12 BETWEEN 4 AND 7 AND j BETWEEN 22 AND 27 AND (k - k % 12) + 8 <= last) AS filled FROM m)"""
 
 
+def _stand_in_model():
+    """A model without weights, to run the flows: channel c is the signal times 1 - c/20."""
+
+    def f(signals):
+        return {"logits": np.stack([signals * (1 - c / 20) for c in range(len(probs.CHANNELS))], axis=1)}
+
+    return f
+
+
 @query("u4_fill_enclosed", "samp", _HOLES + " SELECT transect_id, k AS ping_index, CAST(j AS INT) AS j, filled FROM f")
 def _(t):
     d = patches.fill_enclosed(_holes(t), "m", chunk=16)
@@ -74,20 +84,20 @@ def _(t):
 
 @query("u1_score_segments")
 def _(t):
-    d = scoring.score(t.echo, scoring.stand_in_model, {"logits": "array<array<double>>"}, height=32)
+    d = scoring.score(t.echo, _stand_in_model, {"logits": "array<array<double>>"}, height=32)
     return d.select(*PK, "is_upfacing", F.round("depth_step", 6).alias("depth_step"), *[F.round(A.array_sum(F.get("logits", F.lit(c))), 5).alias(f"total_{c}") for c in (0, 5)])
 
 
 @query("u9_lines")
 def _(t):
-    s = scoring.score_to_lines(t.echo, scoring.stand_in_model, height=32)
+    s = scoring.score_to_lines(t.echo, _stand_in_model, height=32)
     pts, _, _ = scoring.lines_and_regions(s, min_patch_area=0)
     return pts.select("transect_id", "line", F.round("ts_s", 3).alias("ts_s"), F.round("depth", 6).alias("depth"), "status")
 
 
 @query("u9_regions")
 def _(t):
-    s = scoring.score_to_lines(t.echo, scoring.stand_in_model, height=32, autocrop=1)
+    s = scoring.score_to_lines(t.echo, _stand_in_model, height=32, autocrop=1)
     _, rect, con = scoring.lines_and_regions(s, min_patch_area=4, min_passive=0, min_removed=0)
     cols = ["transect_id", "kind", "number", "ts_start", "ts_end", "top", "low"]
     return rect.select(*cols).unionByName(con.select(*cols))
@@ -112,7 +122,7 @@ def _(t):
 @query("u10_evaluate")
 def _(t):
     d = cut(_decomposed(t), "decomposed")
-    s = evaluate.evaluate(d, scoring.stand_in_model, max_depth=25)
+    s = evaluate.evaluate(d, _stand_in_model, max_depth=25)
     return s.select("transect_id", "is_upfacing", "channel", "n", *[F.round(c, 7).alias(c) for c in ("accuracy", "precision", "recall", "f1", "jaccard")])
 
 

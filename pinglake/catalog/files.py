@@ -119,15 +119,28 @@ def _rectangles(t):
     return r.withColumns({"top": F.lit(0.25), "low": F.lit(31.75)})
 
 
-@query("s4_read_regions", "series", _REG + " SELECT transect_id, number, 'passive' AS kind, 4 AS creation_type, 0 AS region_type, 'Passive ' || number AS region_name, round(round_even(a * 1e4, 0) / 1e4, 4) AS ts_start, round(round_even(b * 1e4, 0) / 1e4, 4) AS ts_end, 4 AS n_points FROM rg")
-def _(t):
+_READ_REGIONS = _REG + " SELECT transect_id, number, 'passive' AS kind, 4 AS creation_type, 0 AS region_type, 'Passive ' || number AS region_name, round(round_even(a * 1e4, 0) / 1e4, 4) AS ts_start, round(round_even(b * 1e4, 0) / 1e4, 4) AS ts_end, 4 AS n_points FROM rg"
+
+
+def _read_back(t, line_ending):
     path = scratch(t.spark, "regions-text")
-    regions.write_regions(path, _rectangles(t))
+    regions.write_regions(path, _rectangles(t), line_ending=line_ending, common_notes="by hand\n\nsecond paragraph")
     d = regions.read_regions(t.spark, path)
     return d.select(F.col("transect_id").cast("long").alias("transect_id"), "number", "kind", "creation_type", "region_type", "region_name", F.round("ts_start", 4).alias("ts_start"),
                     F.round("ts_end", 4).alias("ts_end"), F.size("points").alias("n_points"))
 
 
+@query("s4_read_regions", "series", _READ_REGIONS)
+def _(t):
+    return _read_back(t, "\r\n")
+
+
+@query("s4_read_regions_lf", "series", _READ_REGIONS)
+def _(t):
+    return _read_back(t, "\n")
+
+
+
 @query(
     "s6_write_regions", "series",
     _REG + """,

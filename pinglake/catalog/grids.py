@@ -234,7 +234,7 @@ seg AS (SELECT s.transect_id, ping_index, CAST(sum(CASE WHEN dt > q * 20 THEN 1
         FROM steps s JOIN base USING (transect_id)),
 fp AS (SELECT *, row_number() OVER (PARTITION BY transect_id, segment_id ORDER BY ping_index) AS rn, count(*) OVER (PARTITION BY transect_id, segment_id) AS cnt FROM seg),
 c AS (SELECT s.transect_id, segment_id, v FROM samp s JOIN fp USING (transect_id, ping_index) WHERE rn > 1 AND cnt > 2 AND depth <= 25)"""
-_QS = [0, 0.1, 1, 5, 7, 10, 15, 20, 25, 30, 35, 40, 50, 75, 90, 93, 95, 99, 99.9, 100]
+_QS = stats.PERCENTILES
 _A15 = _SEGS + """,
 s1 AS (SELECT transect_id, segment_id, avg(v) AS mean, stddev_pop(v) AS stdev, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.25) AS p25, {qs} FROM c GROUP BY 1, 2),
 s2 AS (SELECT transect_id, segment_id, quantile_cont(abs(v - median), 0.5) AS mad, sqrt(avg((v - p25) ** 2)) AS std25 FROM c JOIN s1 USING (transect_id, segment_id) GROUP BY 1, 2)"""

@@ -496,7 +496,7 @@ for _mode in ("reflect", "edge"):
 
 @query("p22_head_cap", "series", " SELECT transect_id, ping_index, signal FROM series WHERE ping_index < 3500")
 def _(t):
-    # The cap is the operator: evaluation reads at most this many pings of a recording.
+    # The cut is the operator, and a caller's choice: no flow applies it by itself.
     return t.series.where("ping_index < 3500").select(*PK, "signal")
 
 

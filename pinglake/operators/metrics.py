@@ -63,11 +63,18 @@ def channel_cells(df: DataFrame, cond: str = "") -> DataFrame:
     """Prediction and target of every channel in long form, one row per ping and channel.
 
     Overall compares keep masks; turbulence and surface the cells below their line; bottom
-    the cells above; removed and passive one value per ping; patch the patch masks.
+    the cells above; removed and passive one value per ping; patch the patch masks. A
+    prediction and a target of different sizes are an error.
     """
     inv = lambda c: F.transform(c, lambda x: 1 - x.cast("double"))
     dbl = lambda c: F.transform(c, lambda x: x.cast("double"))
     one = lambda c: F.array(F.col(c).cast("double"))
+
+    def paired(p, t):
+        z = F.arrays_zip(p.alias("pred"), t.alias("target"))
+        bad = F.raise_error(F.concat(F.lit("prediction of "), F.size(p).cast("string"), F.lit(" cells, target of "), F.size(t).cast("string")))
+        return F.when(F.size(p) == F.size(t), z).otherwise(bad.cast("array<struct<pred:double,target:double>>"))
+
     spec = {
         "overall": (dbl(f"mask_keep{cond}"), dbl("mask")),
         "turbulence": (F.col(f"p_below_turbulence{cond}"), inv("mask_turbulence")),
@@ -80,7 +87,7 @@ def channel_cells(df: DataFrame, cond: str = "") -> DataFrame:
     used = {p for p in ("mask_keep", "p_below_turbulence", "p_below_surface", "p_above_bottom", "p_removed", "p_passive", "p_patch")}
     drop = [c for c in df.columns if c.startswith(("p_", "mask")) or c.rstrip(cond) in used]
     rows = F.array(
-        *[F.struct(F.lit(k).alias("channel"), F.arrays_zip(p.alias("pred"), t.alias("target")).alias("cells")) for k, (p, t) in spec.items()]
+        *[F.struct(F.lit(k).alias("channel"), paired(p, t).alias("cells")) for k, (p, t) in spec.items()]
     )
     d = df.withColumn("_r", F.explode(rows)).drop(*drop)
     d = d.withColumn("channel", F.col("_r.channel")).withColumn("_c", F.explode("_r.cells"))

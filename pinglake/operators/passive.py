@@ -254,7 +254,7 @@ SCHEDULES = [
     (("minaspassage", "september2018"), 300, 360, 60, "schedule"),
     (("grandpassage", "phase1"), -200, 3420, 420, "schedule"),
 ]
-# Recordings that do not follow their survey's schedule.
+# Recordings that do not follow their survey's schedule.
 FIND_INSTEAD = [
     "D20181021-T165220_D20181021-T222221",
     "D20181022-T105220_D20181022-T162217",
@@ -262,7 +262,7 @@ FIND_INSTEAD = [
     "D20181026-T082220_D20181026-T135213",
     "D20181026-T142217_D20181026-T195218",
 ]
-# Recordings of the second phase that follow the first phase's schedule.
+# Recordings of the second phase that follow the first phase's schedule.
 LIKE_PHASE1 = [
     "WBAT_2B_20200125_UTC100017_floodhigh",
     "WBAT_2B_20200125_UTC160020_ebblow",

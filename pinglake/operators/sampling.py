@@ -125,22 +125,18 @@ def reflect_time(df: DataFrame, seed: int, p: float = 0.5, key: Sequence[str] =
     return df.join(n, list(key)).withColumn(idx, F.when(u <= p, F.col("_last") + F.col("_first") - F.col(idx)).otherwise(F.col(idx))).drop("_last", "_first")
 
 
-def jitter_range(value, center: float, clip_zero: bool) -> tuple[float, float]:
-    if isinstance(value, (int, float)):
-        if value < 0:
-            raise ValueError("a single bound must not be negative")
-        lo, hi = center - value, center + value
-        return (max(lo, 0.0) if clip_zero else lo, hi)
-    lo, hi = value
-    if lo > hi or (clip_zero and lo < 0):
-        raise ValueError(f"bad bounds {value!r}")
-    return float(lo), float(hi)
+def jitter_range(value: float | tuple[float, float], center: float, floor: float = float("-inf")) -> tuple[float, float]:
+    """Bounds of a random factor: a pair as given, or a distance around ``center`` cut at ``floor``."""
+    pair = tuple(map(float, value)) if isinstance(value, Sequence) else (max(center - value, floor), center + value)
+    if len(pair) != 2 or not floor <= pair[0] <= pair[1]:
+        raise ValueError(f"no range from {value!r}: two bounds in order, or one distance, none below {floor}")
+    return pair
 
 
 def colour_jitter(df: DataFrame, seed: int, brightness=0.0, contrast=0.0, key: Sequence[str] = KEY, value: str = "sv") -> DataFrame:
     """Add a random brightness and multiply by a random contrast, in random order, per window."""
-    b = between(uniform(seed, key, "brightness"), *map(F.lit, jitter_range(brightness, 0.0, False)))
-    c = between(uniform(seed, key, "contrast"), *map(F.lit, jitter_range(contrast, 1.0, True)))
+    b = between(uniform(seed, key, "brightness"), *map(F.lit, jitter_range(brightness, 0.0)))
+    c = between(uniform(seed, key, "contrast"), *map(F.lit, jitter_range(contrast, 1.0, floor=0.0)))
     first = uniform(seed, key, "order") < 0.5
     args = F.struct(F.col(value).alias("v"), b.alias("b"), c.alias("c"), first.alias("f"))
     out = A.let(args, lambda s: F.transform(s["v"], lambda x: F.when(s["f"], (x + s["b"]) * s["c"]).otherwise(x * s["c"] + s["b"])))

@@ -21,7 +21,7 @@ def decompose(raw: DataFrame, masked: DataFrame, points: DataFrame, passive_flag
     ping (NULL: to be found). Undefined line points are skipped throughout.
 
     Output per ping: ``mask``, the three patch masks, new and original lines, the cleaned
-    ``surface`` with ``is_surrogate``, ``is_passive``, ``is_removed``, facing; depth increases.
+    ``surface`` with ``is_surrogate`` and ``surface_settled``, ``is_passive``, ``is_removed``, facing; depth increases.
     """
     raw = raw.select(*PK, "ts_s", "depth_start", "depth_stop", "sv")
     msk = masked.select(*PK, "ts_s", "depth_start", "depth_stop", F.transform("sv", lambda x: x.isNotNull()).alias("mask"))
@@ -70,18 +70,18 @@ def decompose(raw: DataFrame, masked: DataFrame, points: DataFrame, passive_flag
     d = d.withColumns({"turbulence": F.col("turbulence_new"), "bottom": F.col("bottom_new")}).drop("turbulence_new", "bottom_new", "is_upfacing")
     d = grid.face_down(d, arrays=("sv", "mask")).drop("facing_mismatch")
     d = cut(d, "lined")
-    d = smooth.fix_surface(d).drop("settled")
+    d = smooth.fix_surface(d).withColumnRenamed("settled", "surface_settled")
     d = masks.residual_patches(d)
     return d.withColumns({c: masks.drop_thin(c) for c in ("mask_patches", "mask_patches_original", "mask_patches_ntob")})
 
 
-def evaluation_labels(df: DataFrame, max_pings: int = 3500, max_depth: float | None = None) -> DataFrame:
+def evaluation_labels(df: DataFrame, max_pings: int | None = None, max_depth: float | None = None) -> DataFrame:
     """Labels of whole recordings as evaluation reads them.
 
-    The first ``max_pings`` pings, cells within ``max_depth`` (of the sounder when
+    All pings (or the first ``max_pings``, if a caller asks for that), cells within ``max_depth`` (of the sounder when
     upfacing), line masks, and as patches the masked cells that nothing else explains.
     """
-    d = df.where(F.col("ping_index") < max_pings)
+    d = df if max_pings is None else df.where(F.col("ping_index") < max_pings)
     arrays = ("sv", "mask")
     if max_depth is not None:
         top = F.greatest("depth_start", "depth_stop")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-from ..operators import grid, lines, patches, probs, runs, segments
+from ..operators import grid, lines, patches, probs, runs, segments, smooth
 from ..session import cut
 from ..sources import lines as line_files
 from ..sources import regions as region_files
@@ -32,12 +32,13 @@ def _model(token: str, load: Callable[[], Callable]) -> Callable:
     return _LOADED[token]
 
 
-def prepare_segments(df: DataFrame, height: int = 64, facing: str = "auto", min_depth: float | Column | None = None, max_depth: float | Column | None = None,
+def prepare_segments(df: DataFrame, height: int | None = 64, facing: str = "auto", min_depth: float | Column | None = None, max_depth: float | Column | None = None,
                      center="mean", deviation="stdev", before_nan: float | None = None, after_nan: float = 0.0, max_length: int = SEGMENT_LENGTH,
                      overlap: int = OVERLAP, fill: bool = True) -> DataFrame:
     """Pings as a model expects them: cropped, normalised, depth increasing, in padded parts.
 
-    Cropping comes first, so that the statistics see the cropped cells only.
+    Cropping comes first, so that the statistics see the cropped cells only. With ``height``
+    None every recording keeps its own number of cells.
     """
     d = df.select("transect_id", "ping_index", "ts_s", "depth_start", "depth_stop", "sv", *[c for c in ("crop_min", "crop_max") if c in df.columns])
     if min_depth is not None or max_depth is not None:
@@ -52,7 +53,7 @@ def prepare_segments(df: DataFrame, height: int = 64, facing: str = "auto", min_
     if fill:
         d = grid.fill_holes(cut(d, "parts"), key=PART)
     d = d.withColumn("sv", A.fill_missing("sv", after_nan))
-    d = cut(grid.resize(d, height), "resized")
+    d = cut(d if height is None else grid.resize(d, height), "resized")
     return segments.pad_in_time(d, overlap, "reflect", "diff", key=PART)
 
 
@@ -82,6 +83,17 @@ def score(df: DataFrame, load: Callable[[], Callable[[np.ndarray], dict]], outpu
     return parts.groupBy(*PART).applyInPandas(run, schema)
 
 
+def smooth_scores(df: DataFrame, sigma_time: float, sigma_depth: float) -> DataFrame:
+    """Every channel of ``logits`` smoothed along depth, then time, edges held."""
+    n, m = F.size("logits"), F.size(F.get("logits", F.lit(0)))
+    d = df.withColumn("logits", F.transform("logits", lambda ch: smooth.gaussian_depth(ch, sigma_depth, "edge")))
+    # Along time cells do not meet, so the channels go through as one array.
+    d = d.withColumns({"_n": n, "_m": m, "logits": F.flatten("logits")})
+    d = smooth.gaussian_time(d, "logits", sigma_time, is_array=True, mode="edge")
+    back = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda c: F.slice("logits", c * F.col("_m") + 1, F.col("_m")))
+    return d.withColumn("logits", back).drop("_n", "_m")
+
+
 def add_lines(df: DataFrame, cond: str = "") -> DataFrame:
     """Line depths and passive and removed flags from probabilities."""
     g = A.depth_grid(f"p_above_surface{cond}")
@@ -97,17 +109,20 @@ def add_lines(df: DataFrame, cond: str = "") -> DataFrame:
 
 
 def score_to_lines(df: DataFrame, load: Callable, autocrop: float = 0.35, min_depth: float | None = None,
-                   max_depth: float | None = None, prob_options: dict | None = None, **options) -> DataFrame:
+                   max_depth: float | None = None, prob_options: dict | None = None, smoothing: tuple[float, float] | None = None, **options) -> DataFrame:
     """Scores, probabilities, line depths and flags; recordings with much empty depth twice.
 
     The model's output column ``logits`` holds, per ping, one array per channel. Where the
     first pass shows that more than ``autocrop`` of the depth could go, the recording is
-    cropped and scored again, once.
+    cropped and scored again, once. ``smoothing`` gives the widths in time and depth of a
+    Gaussian over the logits.
     """
     outputs = {"logits": "array<array<double>>"}
 
     def run(d, lo, hi):
         s = score(d, load, outputs, min_depth=lo, max_depth=hi, **options)
+        if smoothing is not None:
+            s = smooth_scores(cut(s, "logits"), *smoothing)
         return add_lines(probs.probabilities(s, **(prob_options or {})))
 
     first = cut(run(df, min_depth, max_depth), "scored")
@@ -140,12 +155,3 @@ def lines_and_regions(scored: DataFrame, during_passive: str = "interpolate-time
 def write_outputs(pts: DataFrame, rect: DataFrame, contours: DataFrame, path: str, common_notes: str = "", mode: str = "errorifexists") -> None:
     line_files.write_lines(pts, f"{path}/lines", pad=True, mode=mode)
     region_files.write_regions(f"{path}/regions", rect, contours, common_notes=common_notes, mode=mode)
-
-
-def stand_in_model() -> Callable[[np.ndarray], dict]:
-    """A model without weights: channel c is the signal times 1 - c/20."""
-
-    def f(signals: np.ndarray) -> dict:
-        return {"logits": np.stack([signals * (1 - c / 20) for c in range(len(probs.CHANNELS))], axis=1)}
-
-    return f

@@ -72,15 +72,21 @@ def test_regions_round_trip(spark, tmp_path, ending, whole):
     path = str(tmp_path / "r")
     notes = "by hand\r\n\r\nsecond paragraph" if whole else "by hand"
     regions.write_regions(path, rect(spark), contour(spark), common_notes=notes, line_ending=ending)
-    d = regions.read_regions(spark, path, whole_files=whole, line_ending=ending).orderBy("number").collect()
+    d = regions.read_regions(spark, path, line_ending=None if whole else ending).orderBy("number").collect()
     assert [(r.number, r.kind, r.creation_type, r.region_name) for r in d] == [(1, "passive", 4, "Passive 1"), (2, "removed", 4, "Removed block 1"), (3, "patch", 2, "Removed patch 1")]
     assert (d[0].ts_start, d[0].ts_end, d[0].top, d[0].low) == (1.6e9, 1.6e9 + 5, 0.5, 30.0)
     assert [(p.ts_s, p.depth) for p in d[2].points] == [(1.6e9 + 1, 3.0), (1.6e9 + 2, 4.0), (1.6e9 + 3, 3.5)]
     assert all(r.warning is None and r.notes.endswith("second paragraph" if whole else "by hand") for r in d)
-    other = regions.read_regions(spark, path, parse=False, whole_files=whole, line_ending=ending)
+    other = regions.read_regions(spark, path, parse=False, line_ending=None if whole else ending)
     assert {r.kind for r in other.collect()} == {"other"}
 
 
+def test_wrong_line_ending_loses_nothing(spark, tmp_path):
+    path = str(tmp_path / "r")
+    regions.write_regions(path, rect(spark), contour(spark), line_ending="\n")
+    assert regions.read_regions(spark, path, line_ending="\r\n").count() == 3
+
+
 def test_unsupported_region_version(spark, tmp_path):
     write(tmp_path / "x.evr", "EVRG 7 10\r\n1\r\n\r\n12 4 1 0 4 -1 1 20200913 1226400000  1 20200913 1226450000  2\r\n0\r\n0\r\nU\r\n20200913 1226400000 1 0\r\nn\r\n")
     assert regions.read_regions(spark, str(tmp_path), errors="keep").collect()[0].error == "unsupported region structure"
