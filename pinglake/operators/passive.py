@@ -48,6 +48,27 @@ def _exclusive_max(df: DataFrame, key, order: str, value: str, out: str, rows=No
     return s.where(~F.col("_event")).drop("_rank", "_val", "_event")
 
 
+def _look(todo: DataFrame, p: DataFrame, key, thr: Column, forward: bool, window: int) -> DataFrame:
+    """One round of a search: ``hit`` is the nearest ping in the next ``width`` whose level is back at the baseline.
+
+    ``p``: pings by block of ``window``. Adds ``_lo`` and ``_hi``, the pings looked at.
+    """
+    lo = F.col("pos") if forward else F.greatest(F.col("pos") - (F.col("width") - 1), F.lit(0))
+    hi = F.least(F.col("pos") + (F.col("width") - 1), F.col("n") - 1) if forward else F.col("pos")
+    t = todo.drop("hit").withColumns({"_lo": lo, "_hi": hi})
+    spread = t.where(F.col("_lo") <= F.col("_hi")).withColumn(
+        "_b", F.explode(F.sequence(F.floor(F.col("_lo") / window).cast("long"), F.floor(F.col("_hi") / window).cast("long")))
+    )
+    back = A.array_median(F.zip_with("base", "_x", lambda a, b: a - b)) < thr
+    m = spread.join(p, [*key, "_b"]).where(F.col("_i").between(F.col("_lo"), F.col("_hi"))).where(back)
+    hits = m.groupBy(*key, "cid").agg((F.min("_i") if forward else F.max("_i")).cast("long").alias("hit"))
+    return t.join(hits, [*key, "cid"], "left")
+
+
+def _blocks_of(pings: DataFrame, key, idx: str, window: int) -> DataFrame:
+    return pings.select(*key, F.col(idx).alias("_i"), F.col("x").alias("_x"), F.floor(F.col(idx) / window).cast("long").alias("_b"))
+
+
 def _search(cands: DataFrame, pings: DataFrame, key, idx: str, thr: Column, forward: bool, window: int) -> DataFrame:
     """Nearest ping whose level is back at the candidate's baseline.
 
@@ -56,33 +77,50 @@ def _search(cands: DataFrame, pings: DataFrame, key, idx: str, thr: Column, forw
     of pings, twice as wide as the last, for the candidates not yet answered.
     """
     key = list(key)
-    p = pings.select(*key, F.col(idx).alias("_i"), F.col("x").alias("_x"), F.floor(F.col(idx) / window).cast("long").alias("_b"))
-    todo, found, width = cands.withColumn("hit", F.lit(None).cast("long")), [], window
+    p = _blocks_of(pings, key, idx, window)
+    todo, found = cands.withColumns({"hit": F.lit(None).cast("long"), "width": F.lit(window).cast("long")}), []
     while True:
-        lo = F.col("pos") if forward else F.greatest(F.col("pos") - (width - 1), F.lit(0))
-        hi = F.least(F.col("pos") + (width - 1), F.col("n") - 1) if forward else F.col("pos")
-        t = todo.drop("hit").withColumns({"_lo": lo, "_hi": hi})
-        spread = t.where(F.col("_lo") <= F.col("_hi")).withColumn(
-            "_b", F.explode(F.sequence(F.floor(F.col("_lo") / window).cast("long"), F.floor(F.col("_hi") / window).cast("long")))
-        )
-        back = A.array_median(F.zip_with("base", "_x", lambda a, b: a - b)) < F.col("thr")
-        m = spread.join(p, [*key, "_b"]).where(F.col("_i").between(F.col("_lo"), F.col("_hi"))).where(back)
-        hits = m.groupBy(*key, "cid").agg((F.min("_i") if forward else F.max("_i")).cast("long").alias("hit"))
-        r = cut(t.join(hits, [*key, "cid"], "left"))
+        r = cut(_look(todo, p, key, thr, forward, window))
         over = (F.col("_hi") >= F.col("n") - 1) if forward else (F.col("_lo") <= 0)
         open_ = F.col("hit").isNull() & ~over
-        found.append(r.where(~open_).drop("_lo", "_hi"))
+        found.append(r.where(~open_).drop("_lo", "_hi", "width"))
         rest = r.where(open_)
         if rest.isEmpty():
             break
-        todo = rest.withColumn("pos", F.col("_hi") + 1 if forward else F.col("_lo") - 1).drop("_lo", "_hi")
-        width *= 2
+        todo = rest.withColumns({"pos": F.col("_hi") + 1 if forward else F.col("_lo") - 1, "width": F.col("width") * 2}).drop("_lo", "_hi")
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
     return out
 
 
+def _greedy(starts: DataFrame, pings: DataFrame, key, idx: str, thr: Column, window: int, rows) -> DataFrame:
+    """Taken starts ``s`` with their ends ``e`` (``n`` if the level never returns).
+
+    As far as it has been looked, a stretch without end reaches at least there. After each
+    round the greedy choice is made with the reaches known so far, and only the starts that
+    it takes are looked at further: they do not overlap, so a round reads each ping about once
+    however many starts a long stretch covers. A start that was covered by one which another
+    then covers comes back by itself, since the choice is made anew every time.
+    """
+    key = list(key)
+    p = _blocks_of(pings, key, idx, window)
+    state = starts.withColumns({"hit": F.lit(None).cast("long"), "width": F.lit(window).cast("long")})
+    todo, rest = state, None
+    while True:
+        r = _look(todo, p, key, thr, True, window)
+        r = r.withColumns({"pos": F.when(F.col("hit").isNull(), F.greatest(F.col("_hi") + 1, "pos")).otherwise(F.col("pos")), "width": F.col("width") * 2}).drop("_lo", "_hi")
+        state = cut(r if rest is None else r.unionByName(rest), "stretches")
+        reach = F.coalesce("hit", F.when(F.col("pos") >= F.col("n"), F.col("n")).otherwise(F.greatest(F.col("pos") - 1, "cid")))
+        taken = cut(_choose(state.select(*key, F.col("cid").alias("s"), reach.cast("long").alias("e")), key, rows), "taken")
+        alive = taken.select(*key, F.col("s").alias("cid"))
+        unsure = F.col("hit").isNull() & (F.col("pos") < F.col("n"))
+        todo = cut(state.join(alive, [*key, "cid"], "left_semi").where(unsure), "open")
+        if todo.isEmpty():
+            return taken.join(state.select(*key, F.col("cid").alias("s"), "n", "thr"), [*key, "s"])
+        rest = state.join(todo.select(*key, "cid"), [*key, "cid"], "left_anti")
+
+
 def candidates(df: DataFrame, threshold: float | None = 25.0, deviation: float | None = None, n_use: int | None = N_USE,
                key: Sequence[str] = KEY, idx: str = "ping_index", rows: int | None = None) -> DataFrame:
     """Pings where the level drops (``is_start``) or rises (``is_end``) by more than the threshold."""
@@ -147,9 +185,7 @@ def _stretches(cands: DataFrame, near: DataFrame, key, idx, before: int, after:
         return d.withColumn("_at", at.cast("long")).join(b, [*key, "_at"]).drop("_at")
 
     fwd = with_base(starts, F.greatest(F.lit(0), F.col("s") - before)).select(*key, F.col("s").alias("cid"), "base", F.col("s").alias("pos"), "n", "thr")
-    fwd = _search(fwd, near, key, idx, F.col("thr"), True, window)
-    ends = fwd.select(*key, F.col("cid").alias("s"), F.coalesce("hit", "n").cast("long").alias("e"), "n", "thr")
-    kept = cut(_choose(ends.select(*key, "s", "e"), key, rows).join(ends.drop("e"), [*key, "s"]), "kept")
+    kept = cut(_greedy(fwd, near, key, idx, F.col("thr"), window, rows), "kept")
     inner = kept.where(F.col("e") < F.col("n"))
     back = with_base(inner, F.least(F.col("n") - 1, F.col("e") + after)).select(
         *key, F.col("s").alias("cid"), "base", (F.col("e") - 1).alias("pos"), "n", "thr"

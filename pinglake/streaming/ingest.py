@@ -13,7 +13,7 @@ def ingest(spark: SparkSession, source: str, target: str, checkpoint: str, patte
 
     The file source remembers what it has read in the checkpoint. A batch writes below its
     own number and replaces what an interrupted attempt may have left, so a retry adds
-    nothing twice. Unreadable rows go to ``<target>/quarantine``.
+    nothing twice. Rows are parsed once and stored apart, good ones and unreadable ones.
     """
     rows = (
         spark.readStream.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_batch)
@@ -22,16 +22,20 @@ def ingest(spark: SparkSession, source: str, target: str, checkpoint: str, patte
 
     def store(batch: DataFrame, number: int) -> None:
         # A file is never split over batches, so its header is at hand.
-        p = parse_pings(batch)
-        good(p).write.mode("overwrite").parquet(f"{target}/pings/batch={number}")
-        quarantine(p).write.mode("overwrite").parquet(f"{target}/quarantine/batch={number}")
+        kind = F.when(F.col("error").isNull(), "pings").otherwise("quarantine")
+        parse_pings(batch).withColumn("kind", kind).write.mode("overwrite").partitionBy("kind").parquet(f"{target}/batches/batch={number}")
 
     q = rows.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
 
 
 def ingested(spark: SparkSession, target: str) -> DataFrame:
-    return spark.read.parquet(f"{target}/pings")
+    return good(spark.read.parquet(f"{target}/batches").where("kind = 'pings'").drop("kind", "batch"))
+
+
+def rejected(spark: SparkSession, target: str) -> DataFrame:
+    """Rows that did not read, with their file and error."""
+    return quarantine(spark.read.parquet(f"{target}/batches").where("kind = 'quarantine'"))
 
 
 def session_segments(stream: DataFrame, gap: str, ts: str = "ts", key: str = "transect_id", late: str = "1 hour") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pinglake.operators import passive, smooth
 
@@ -164,3 +165,22 @@ def test_missing_sample_blocks_the_step(spark):
 def test_schedule(spark, path, i, want):
     r = passive.schedule_flags(spark.createDataFrame([(path, i)], "path string, ping_index long")).collect()[0]
     assert (r.schedule, r.is_passive) == want
+
+
+def test_falls_that_never_return_cost_little(spark, monkeypatch):
+    """Starts covered by a stretch without end are looked at once, not to the end of the recording."""
+    looked = []
+    look = passive._look
+
+    def counted(todo, *args):
+        out = look(todo, *args)
+        looked.append(out.agg(F.sum(F.col("_hi") - F.col("_lo") + 1)).first()[0])
+        return out
+
+    monkeypatch.setattr(passive, "_look", counted)
+    n, falls = 4000, 100
+    level = np.repeat(-30.0 * np.arange(falls), n // falls)
+    df = frame(spark, {1: np.repeat(level[:, None], 3, axis=1)})
+    assert found(passive.find_passive(df, window=16)) == {1: [(n // falls, n)]}
+    # A round reads each ping about once; every start on its own would read half the recording.
+    assert sum(x or 0 for x in looked) <= len(looked) * n < falls * n / 4
