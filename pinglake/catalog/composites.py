@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..operators import patches, probs
-from ..plans import decompose, evaluate, scoring
-from ..session import cut
+from ..plans import decompose, evaluate, job, scoring
+from ..session import cut, scratch
+from ..sources import pings
 from .registry import query
 
 PK = ["transect_id", "ping_index"]
@@ -103,6 +104,27 @@ def _(t):
     return rect.select(*cols).unionByName(con.select(*cols))
 
 
+@query(
+    "u9_whole_job", "echo",
+    """ SELECT transect_id, kind, count(*) AS n_pings, count(*) + CASE WHEN count(*) > 1 THEN 2 ELSE 0 END + 2 AS n_rows, 'process' AS first_run, 'skip' AS second_run
+FROM echo CROSS JOIN (SELECT unnest(['turbulence', 'bottom', 'surface']) AS kind) GROUP BY 1, 2""",
+)
+def _(t):
+    # One export per recording, found, read, regridded, smoothed, scored and written; then once more, which must find nothing to do.
+    folder, out = scratch(t.spark, "survey"), scratch(t.spark, "job")
+    rows = pings.render_pings(t.echo).repartition("transect_id").sortWithinPartitions("transect_id", "seq")
+    rows.select("transect_id", "value").write.option("lineSep", "\r\n").partitionBy("transect_id").text(folder)
+    options = {"extensions": ("txt",), "autocrop": 1, "smoothing": (1.0, 1.0), "score_options": {"height": 32}, "region_options": {"min_patch_area": 4}}
+    recording = F.regexp_extract("path", r"transect_id=(\d+)", 1).cast("long").alias("transect_id")
+    first = cut(job.run_job(t.spark, folder, out, _stand_in_model, **options).select(recording, "n_pings", F.col("action").alias("first_run")), "report")
+    second = job.run_job(t.spark, folder, out, _stand_in_model, mode="skip", **options).select(recording, F.col("action").alias("second_run"))
+    text = t.spark.read.option("recursiveFileLookup", "true").text(f"{out}/outputs").select("value", F.col("_metadata.file_path").alias("file"))
+    name = F.try_url_decode(F.try_url_decode("file"))
+    written = text.select(F.regexp_extract(name, r"transect_id=(\d+)", 1).cast("long").alias("transect_id"), F.regexp_extract(name, r"\.(\w+)\.evl/", 1).alias("kind"))
+    written = written.where("kind <> ''").groupBy("transect_id", "kind").agg(F.count("*").alias("n_rows"))
+    return written.join(first, "transect_id").join(second, "transect_id")
+
+
 def _decomposed(t):
     raw = t.echo.drop("embedding")
     msk = t.masked.withColumn("sv", F.transform("mask", lambda k: F.when(k, F.lit(-60.0))))
