@@ -26,6 +26,8 @@ LINE_COVERAGE = 0.40
 # Largest share of words a text may have in symbol characters.
 SYMBOLS_PER_WORD = 0.5
 SYMBOLS = b"#*$%&|<>"
+# Texts measured together; the working arrays are some hundred times their bytes.
+TEXTS = 250
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, "
@@ -139,7 +141,7 @@ def measure(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
             names=["doc_id", *names, "base_failed", "kept", *covers],
         )
 
-    return map_batches(df, [F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")], one, SCHEMA)
+    return map_batches(df, [F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")], one, SCHEMA, TEXTS)
 
 
 def keep(df: DataFrame, text: str = "text") -> DataFrame:
@@ -150,8 +152,8 @@ def keep(df: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for i in range(0, b.num_rows, 1000):
-                part = b.slice(i, 1000)
+            for i in range(0, b.num_rows, TEXTS):
+                part = b.slice(i, TEXTS)
                 _, good = verdict(statistics(*text_bytes(part.column(at)), rolling))
                 yield part.filter(pa.array(good))
 
