@@ -45,14 +45,11 @@ BLOCK = 1 << 18
 # Size of the bitmaps: 2 MB whatever the corpus.
 BITS = 1 << 24
 
-# A place in one number: 18 bits of the text's hash, 31 of the start, 7 of the number of windows.
-_T_BITS = 18
-
 
 def _keyed(df: DataFrame, text: str, key: str) -> DataFrame:
-    """Columns d (the id, null lowest), t (part of the text's hash), k (of both), text."""
+    """Columns d (the id, null lowest), t (the text's hash), k (of both), text."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    keyed = df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("d"), F.xxhash64(t).bitwiseAND(F.lit((1 << _T_BITS) - 1)).alias("t"), t.alias("text"))
+    keyed = df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("d"), F.xxhash64(t).alias("t"), t.alias("text"))
     return keyed.withColumn("k", F.xxhash64("d", "t"))
 
 
@@ -136,7 +133,7 @@ def _hashes(docs: DataFrame) -> DataFrame:
 
 
 def _places(docs: DataFrame, sent) -> DataFrame:
-    """(h, c, d, p) of the anchors that a bitmap lets pass; p packs the text's hash, start and windows."""
+    """(h, c, d, t, p) of the anchors that a bitmap lets pass; p packs the start and, in 7 bits, the number of windows."""
     anchors = Anchors()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,24 +141,20 @@ def _places(docs: DataFrame, sent) -> DataFrame:
             for lo in range(0, b.num_rows, 500):
                 data, off = text_bytes(b.column(2).slice(lo, 500))
                 ds, ts = b.column(0).slice(lo, 500).to_numpy(), b.column(1).slice(lo, 500).to_numpy()
-                out: list[list[np.ndarray]] = [[], [], [], []]
+                out: list[list[np.ndarray]] = [[], [], [], [], []]
                 for i in range(len(ds)):
                     h, c, start, windows = anchors.of(data[off[i] : off[i + 1]])
                     use = _is_in(sent.value, h)
-                    p = (ts[i] << 38) | (start[use] << 7) | windows[use]
-                    for to, x in zip(out, (h[use], c[use], np.full(use.sum(), ds[i]), p)):
+                    p = (start[use] << 7) | windows[use]
+                    for to, x in zip(out, (h[use], c[use], np.full(use.sum(), ds[i]), np.full(use.sum(), ts[i]), p)):
                         to.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in out], names=["h", "c", "d", "p"])
-
-    return docs.select("d", "t", "text").mapInArrow(run, "h long, c long, d long, p long")
-
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in out], names=["h", "c", "d", "t", "p"])
 
-def _t(p: Column) -> Column:
-    return F.shiftright(p, 38)
+    return docs.select("d", "t", "text").mapInArrow(run, "h long, c long, d long, t long, p long")
 
 
 def _start(p: Column) -> Column:
-    return F.shiftright(p, 7).bitwiseAND(F.lit((1 << 31) - 1))
+    return F.shiftright(p, 7)
 
 
 def _windows(p: Column) -> Column:
@@ -316,15 +309,15 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """Spans (d, t, lo, hi) of bytes that repeat an earlier place; spans of a text may overlap."""
     shared = cut(_hashes(docs).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "anchors")
     places = cut(_places(docs, _bitmap(shared, "h")).join(shared, "h", "left_semi"), "places")
-    place = F.struct("d", "p")
+    place = F.struct("d", "t", "p")
     folded = cut(places.groupBy("h", "c").agg(F.min(place).alias("first"), F.count("*").alias("n")), "contexts")
     copies = places.join(folded.where("n > 1").select("h", "c", "first"), ["h", "c"]).where(place != F.col("first"))
     p = F.col("p")
-    copies = copies.select("d", _t(p).alias("t"), _start(p).alias("lo"), (_start(p) + _windows(p) + (LENGTH - 1)).alias("hi"))
+    copies = copies.select("d", "t", _start(p).alias("lo"), (_start(p) + _windows(p) + (LENGTH - 1)).alias("hi"))
 
     several = folded.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
     p = F.col("first.p")
-    open_ = folded.join(several, "h").select("h", F.col("first.d").alias("d"), _t(p).alias("t"), _start(p).alias("start"), _windows(p).alias("windows"), (F.col("m") > TOGETHER).alias("many"))
+    open_ = folded.join(several, "h").select("h", F.col("first.d").alias("d"), F.col("first.t").alias("t"), _start(p).alias("start"), _windows(p).alias("windows"), (F.col("m") > TOGETHER).alias("many"))
     asked = cut(open_.groupBy("d", "t").agg(F.collect_list(F.struct("h", "start", "windows", "many")).alias("asked")), "asked")
     texts_of = _only(docs.select("d", "t", "k", "text"), _bitmap(asked.select(F.xxhash64("d", "t").alias("k")), "k"), True)
     # Rows equal in id and text are one document.

@@ -167,3 +167,18 @@ def test_repeated_rows_and_missing_ids_of_passages(spark):
     # The row without an id is first; rows equal in id and text are one document.
     assert got == sorted([(None, 300, 0, 0), (1, 300, 300, 1), (1, 300, 300, 1), (2, 300, 300, 1), (5, 0, 0, 0)], key=str)
     assert exact_substrings.remove(df.where("false")).count() == 0
+
+
+def test_passages_of_many_texts_without_id(spark):
+    # 4,000 different texts under one id; two texts share each passage, with other signs around it.
+    rng = random.Random(9)
+    made = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passages = [made(150) for _ in range(2000)]
+    parts = [(made(rng.randint(0, 120)) + around[0], p, around[1] + made(rng.randint(0, 120))) for p in passages for around in ("<>", "[]")]
+    df = spark.createDataFrame([(None, "".join(x)) for x in parts], "doc_id long, text string")
+    kept = {bytes(r.kept): r for r in exact_substrings.remove(df).collect()}
+    for x, y in zip(parts[::2], parts[1::2]):
+        # One of the two loses the passage and nothing else, the other one is whole.
+        found = [[kept.get(k.encode()) for k in ("".join(z), z[0] + z[2])] for z in (x, y)]
+        assert sorted([a is not None, b is not None] for a, b in found) == [[False, True], [True, False]]
+        assert sorted((r.n_removed, r.n_spans) for f in found for r in f if r) == [(0, 0), (150, 1)]
