@@ -44,6 +44,21 @@ class Kind:
 
 
 _RUN = r"(?:\G|(?<![{0}]))"
+# Signs of an account number by country; what follows the number is never taken for a part of it.
+IBAN_SIGNS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban() -> str:
+    """Numbers of the country's length; codes that are not in the table, of any length."""
+    known = [(f"(?:{c.replace(' ', '|')})", n) for n, c in IBAN_SIGNS.items()]
+    each = [rf"{c}[0-9]{{2}}(?:\x20?+[A-Z0-9]){{{n - 4}}}" for c, n in known]
+    other = rf"(?!{'|'.join(c for c, _ in known)})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}+"
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{'|'.join(each)}|{other})(?![A-Za-z0-9])"
+
+
 KINDS = (
     Kind("email", _RUN.format("A-Za-z0-9._%+-") + r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", 0.9),
     Kind("ip", _RUN.format("0-9") + r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]", 0.9),
@@ -51,7 +66,7 @@ KINDS = (
     Kind("card", r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,}+", r"[0-9](?:[\x20-]?[0-9]){15}", 0.9),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", 0.8),
     # Beyond the base: account numbers with a mod-97 sum, and shapes that need a word beside them.
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}", 0.9, False),
+    Kind("iban", _iban(), r"[A-Z]{2}[0-9]{2}", 0.9, False),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]{3}-[0-9]{2}-", 0.3, False, r"(?i)\b(?:ssn|social security)\b"),
     Kind("local_phone", r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])", r"[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-]", 0.3, False, r"(?i)\b(?:phone|tel|call|mobile|cell|fax|telefon|tél|teléfono)\b"),
 )

@@ -44,6 +44,14 @@ def test_checked_numbers_and_context(spark):
     assert [r.text for r in pii.redact(pii.find_spans(overlap)).orderBy("doc_id").collect()] == ["[EMAIL]", None]
 
 
+def test_account_numbers_before_capitals_and_digits(spark):
+    de, fr = "DE89370400440532013000", "FR1420041010050500013M02606"
+    texts = [f"{de} Please pay", f"{de} 2 times", f"{de} {fr} A", "to GB82 WEST 1234 5698 7654 32 X1", f"{de}X no", f"DE12 {de}"]
+    df = docs(spark, texts, False).where("doc_id IS NOT NULL")
+    got = {r.doc_id: r.text for r in pii.redact(pii.find_spans(df)).collect()}
+    assert got == {0: "[IBAN] Please pay", 1: "[IBAN] 2 times", 2: "[IBAN] [IBAN] A", 3: "to [IBAN] X1", 4: texts[4], 5: "DE12 [IBAN]"}
+
+
 def test_chat_round_trip(spark):
     rng = random.Random(9)
     bits = ["\\", "###", "</turn>", "\n", "#", "a", "é", "### assistant\n", "\n</turn>\n", "<", "/turn>", " "]
