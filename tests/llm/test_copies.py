@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 from test_words import ODD, docs, words
 
-from pinglake.llm import components, exact_substrings, fingerprints, simhash_dedup
+from pinglake.llm import components, exact_substrings, fingerprints, near_copies, simhash_dedup
 from pinglake.llm.suffix_array import suffix_array
 
 
@@ -182,3 +182,43 @@ def test_passages_of_many_texts_without_id(spark):
         found = [[kept.get(k.encode()) for k in ("".join(z), z[0] + z[2])] for z in (x, y)]
         assert sorted([a is not None, b is not None] for a, b in found) == [[False, True], [True, False]]
         assert sorted((r.n_removed, r.n_spans) for f in found for r in f if r) == [(0, 0), (150, 1)]
+
+
+def test_near_copies_by_similarity(spark):
+    rng = np.random.default_rng(11)
+    vocab = [f"w{i}" for i in range(2000)]
+    texts, want = list(ODD), []
+    for _ in range(60):
+        base = list(rng.choice(vocab, 200))
+        # Three changed words touch 15 of 196 shingles (similarity 0.86), twelve spread ones about 60.
+        near, far = list(base), list(base)
+        for at in (20, 90, 150):
+            near[at] = "changed"
+        for at in range(5, 197, 16):
+            far[at] = "changed"
+        texts += [" ".join(x) for x in (base, near, far)]
+        want += [len(texts) - 3, len(texts) - 1]
+    kept = {r.doc_id for r in near_copies.keep_one(docs(spark, texts)).collect()}
+    assert {i for i in kept if i is not None and i >= len(ODD)} == set(want)
+    assert near_copies.keep_one(docs(spark).where("false")).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_stars_connect_what_similar_pairs_connect(seed):
+    rng = np.random.default_rng(seed)
+    sets = [np.unique(rng.integers(0, 40, 30).astype(np.uint64)) for _ in range(12)]
+    for _ in range(40):
+        x = sets[rng.integers(len(sets))]
+        sets.append(np.unique(np.r_[np.delete(x, rng.integers(len(x))), rng.integers(0, 40, 1).astype(np.uint64)]))
+    like = lambda x, y: len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y))
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if like(sets[i], sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    x, y = near_copies.stars(np.concatenate(sets), np.cumsum([0, *(len(s) for s in sets)]))
+    of = list(range(len(sets)))
+    for a, b in zip(x.tolist(), y.tolist()):
+        of[b] = a
+    assert all((of[i] == of[j]) == (root[i] == root[j]) for i in range(len(sets)) for j in range(len(sets)))

@@ -153,3 +153,13 @@ def test_pipeline(spark, tmp_path):
     df.where("false").write.parquet(f"{empty}/documents.parquet")
     assert corpus_pipeline.run(spark, empty).count() == 0
     assert [n for n, _ in corpus_pipeline.STAGES][1] == "near duplicates" and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_near_copies_go_in_the_pipeline(spark):
+    rng = np.random.default_rng(13)
+    vocab = [f"v{i}" for i in range(900)]
+    base = [list(rng.choice(vocab, 200)) for _ in range(40)]
+    copies = [[*b[:40], "other", *b[41:120], "word", *b[121:]] for b in base]  # similarity 0.90
+    df = docs(spark, [" ".join(x) for x in base + copies], False).where("doc_id IS NOT NULL")
+    left = corpus_pipeline.dedup(spark, df, "").collect()
+    assert sorted(r.doc_id for r in left) == list(range(40))
