@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from pinglake.functions import text
 from pinglake.sources import files, lines, pings, regions
-from pinglake.streaming.ingest import ingest, ingested
+from pinglake.streaming.ingest import ingest, ingested, rejected
 
 HEAD = "﻿Ping_index, Ping_date, Ping_time, Ping_milliseconds, Depth_start, Depth_stop, Vessel\n"
 
@@ -140,4 +140,6 @@ def test_incremental_ingest(spark, tmp_path):
     write(tmp_path / "in/b.txt", HEAD + row.format(7) + "x" + row.format(8))
     ingest(*args)
     assert sorted(r.Ping_index for r in ingested(spark, str(tmp_path / "out")).collect()) == [0, 1, 7]
-    assert spark.read.parquet(str(tmp_path / "out/quarantine")).count() == 1
+    bad = rejected(spark, str(tmp_path / "out")).collect()
+    assert [(r.file.rsplit("/", 1)[1], r.raw[:2]) for r in bad] == [("b.txt", "x8")]
+    assert all(r.error for r in bad)
