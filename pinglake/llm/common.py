@@ -136,3 +136,17 @@ def per_text(counts: np.ndarray) -> np.ndarray:
 
 def totals(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(owner, weights=values, minlength=n).astype(np.int64) if len(owner) else np.zeros(n, np.int64)
+
+
+def by_bytes(batches: Iterator[pa.RecordBatch], column: int = 1, rows: int = 2000, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of at most ``rows`` rows and about ``size`` bytes of one text column; a longer text is a slice of its own."""
+    for b in batches:
+        lengths = np.diff(text_bytes(b.column(column))[1])
+        at, held = 0, 0
+        for i, n in enumerate(lengths):
+            if i > at and (i - at >= rows or held + n > size):
+                yield b.slice(at, i - at)
+                at, held = i, 0
+            held += int(n)
+        if at < b.num_rows:
+            yield b.slice(at)
