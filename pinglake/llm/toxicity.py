@@ -62,9 +62,10 @@ _ASCII = np.zeros(256, bool)
 _ASCII[97:123] = True
 _SIGN = np.zeros(256, bool)
 _SIGN[[ord(c) for c in SIGNS]] = True
+_TAIL = np.zeros(256, bool)  # signs that may end a disguised word; the others rather end a sentence
+_TAIL[[ord(c) for c in "$@"]] = True
 _GAP = np.zeros(256, bool)
 _GAP[[ord(c) for c in GAPS if c != " "]] = True
-_BREAKS = np.array([9, 10, 11, 12, 13, 32])
 
 
 def trigrams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -166,17 +167,23 @@ def disguised(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     if not len(start):
         return none, none
     pad = np.concatenate([data, np.zeros(3, np.uint8)])
-    letter, sign, gap = _ASCII[pad], _SIGN[pad], _GAP[pad]
+    letter, sign, gap, tail = _ASCII[pad], _SIGN[pad], _GAP[pad], _TAIL[pad]
     here = letter[:-3]
-    mark = sign[:-3] & letter[1:-2]  # a sign before a letter
-    mark |= here & sign[1:-2] & (letter | sign)[2:-1] & ~((pad[1:-2] == pad[2:-1]) & (pad[2:-1] == pad[3:]))
-    mark |= here & (pad[:-3] == pad[1:-2]) & (pad[1:-2] == pad[2:-1])  # three of a letter
-    mark |= here & gap[1:-2] & letter[2:-1] & gap[3:]  # letters between gaps
-    # Marks may look over a word's end; what they see there belongs to another word or text.
-    owner = np.searchsorted(start, np.flatnonzero(mark), side="right") - 1
+    two, three = pad[:-3] == pad[1:-2], pad[1:-2] == pad[2:-1]
+    found = [
+        (2, sign[:-3] & letter[1:-2]),
+        (3, here & sign[1:-2] & (letter | tail)[2:-1]),
+        (3, here & two & three),
+        (4, here & gap[1:-2] & letter[2:-1] & gap[3:]),
+    ]
     size = end - start
     flagged = np.zeros(len(start), bool)
-    flagged[owner[owner >= 0]] = True
+    for n, mark in found:
+        at = np.flatnonzero(mark)
+        owner = np.searchsorted(start, at, side="right") - 1
+        at, owner = at[owner >= 0], owner[owner >= 0]
+        # What lies beyond a word's end belongs to another word or text.
+        flagged[owner[at + n <= end[owner]]] = True
     # Words of one character, four or more in a row, are one unit.
     one = (size == 1) & (_ASCII | _SIGN)[data[start]]
     text = per_text(counts)
@@ -205,8 +212,8 @@ def restored(data: np.ndarray, offsets: np.ndarray, model: Characters) -> tuple[
         parts += (raw[at:s], new)
         at = e
         grown.append(len(new) - len(old))
-        # Letters other than before; signs that merely end words do not count.
-        changed.append(new.replace(b" ", b"") != bytes(c for c in old if _LETTER[c]))
+        # Other words than the letters alone make; signs that merely end words do not count.
+        changed.append(new.split() != bytes(c if _LETTER[c] else 32 for c in old).split())
     parts.append(raw[at:])
     owner = np.searchsorted(offsets, start, side="right") - 1
     more = np.bincount(owner, weights=grown, minlength=n).astype(np.int64)
