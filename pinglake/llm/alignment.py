@@ -20,9 +20,12 @@ empty table; a null id stays null; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +37,13 @@ from ..session import cut
 from .bpe import _byte_letters
 from .common import by_bytes, documents, text_bytes
 
-# Most texts, and about the most bytes of text, that are aligned and counted together.
-ROWS, BYTES = 4000, 4 << 20
+# Most texts, and about the most bytes of text, that are counted together, and bytes tokenized together.
+ROWS, BYTES, PART = 4000, 1 << 20, 1 << 18
+# Parts of texts remembered per worker; the memory starts anew when full, results do not depend on it.
+CACHE = 200_000
+# Fixed value: how byte-level vocabularies cut texts before they merge.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+PLAIN = re.compile("[ -~\n\tÀ-ɏ]*+").fullmatch
 # A pair of ids as one number: the A id times this, plus the B id. Larger than any vocabulary.
 WIDTH = 1 << 24
 
@@ -77,8 +85,26 @@ class ByteLevel(Side):
             spell[i] = bytes(of[c] for c in t) if all(c in of for c in t) else t.encode()
         super().__init__(spell)
 
-    def ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.model.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        spec = json.loads(self.model.to_str())
+        pre = spec.get("pre_tokenizer") or {}
+        self.splits = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+        vocab = spec["model"]["vocab"]
+        merged = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in spec["model"]["merges"]]
+        self.ranked = None
+        if self.splits and all(x < y for x, y in zip(merged, merged[1:])):
+            # Ids grow with merge rank, so ranks alone say the same; a faster encoder for plain parts.
+            import tiktoken
+
+            ranks = {bytes(of[c] for c in t): i for t, i in vocab.items() if all(c in of for c in t) and t not in {x["content"] for x in spec["added_tokens"]}}
+            self.ranked = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def ids(self, parts: list[str]) -> list[list[int]]:
+        if self.ranked is None:
+            return [e.ids for e in self.model.encode_batch_fast(parts, add_special_tokens=False)]
+        # Kinds of letters that tables of different age may hold different views of go the library's way.
+        plain = [PLAIN(p) is not None for p in parts]
+        rest = iter(self.model.encode_batch_fast([p for p, x in zip(parts, plain) if not x], add_special_tokens=False))
+        return [self.ranked(p) if x else next(rest).ids for p, x in zip(parts, plain)]
 
 
 class Pieces(Side):
@@ -92,14 +118,61 @@ class Pieces(Side):
             spell.append(bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode())
         super().__init__(spell)
 
-    def ids(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1)
+        # No piece goes on over a space.
+        self.splits = not any("▁" in self.model.id_to_piece(i).lstrip("▁") for i in range(self.model.get_piece_size()))
+
+    def ids(self, parts: list[str]) -> list[list[int]]:
+        return self.model.encode([p[1:] for p in parts], num_threads=1)  # it adds the space itself
+
+
+class Both:
+    """Ids of texts from both sides, with a memory for parts of texts.
+
+    Before a space between other signs and a plain letter or sign neither side has a token that goes
+    on: there texts are cut, and each part is tokenized once as long as it is remembered. Sides
+    for which this does not hold get whole texts.
+    """
+
+    def __init__(self, a: str, b: str):
+        self.sides = ByteLevel(a), Pieces(b)
+        self.split = re.compile("(?<=\\S)(?= [!-~À-ɏ])" if all(s.splits for s in self.sides) else "(?!)")
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        # Ids of all known parts, one after the other, and where each part's begin.
+        self.ids_of = [np.zeros(0, np.int32) for _ in self.sides]
+        self.begin = [np.zeros(1, np.int64) for _ in self.sides]
+
+    def ids(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per side the ids of all texts, joined, and the number of ids of each; none for an empty text."""
+        if len(self.known) > CACHE:
+            self._forget()
+        known = self.known
+        rows = [self.split.split(" " + t) if t else [] for t in texts]
+        new = list({p for r in rows for p in r}.difference(known))
+        known.update(zip(new, range(len(known), len(known) + len(new))))
+        for k, side in enumerate(self.sides):
+            got = side.ids(new)
+            self.ids_of[k] = np.concatenate([self.ids_of[k], np.fromiter(chain.from_iterable(got), np.int32)])
+            self.begin[k] = np.concatenate([self.begin[k], self.begin[k][-1] + np.cumsum([len(x) for x in got], dtype=np.int64)])
+        parts = np.fromiter((known[p] for r in rows for p in r), np.int64)
+        of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        out = []
+        for ids, begin in zip(self.ids_of, self.begin):
+            size = begin[parts + 1] - begin[parts]
+            stop = np.cumsum(size)
+            joined = ids[np.arange(stop[-1] if len(stop) else 0) + np.repeat(begin[parts] - (stop - size), size)]
+            out.append((joined.astype(np.int64), np.bincount(of, weights=size, minlength=len(rows)).astype(np.int64)))
+        if any(len(p) > 1000 for p in new):
+            self._forget()  # a very long part would be remembered for nothing
+        return out
 
 
 @lru_cache(maxsize=2)
-def tokenizers(a: str, b: str) -> tuple[ByteLevel, Pieces]:
+def tokenizers(a: str, b: str) -> Both:
     """One pair per worker process."""
-    return ByteLevel(a), Pieces(b)
+    return Both(a, b)
 
 
 def coalesce(start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -118,7 +191,8 @@ def overlaps(a_end: np.ndarray, b_end: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
     Between two neighbouring cuts of either side lies exactly one token of each.
     """
-    cuts = np.union1d(a_end, b_end)
+    cuts = np.sort(np.concatenate([a_end, b_end]), kind="stable")  # two rising rows: a merge
+    cuts = cuts[np.append(cuts[1:] != cuts[:-1], len(cuts) > 0)] if len(cuts) else cuts
     return np.searchsorted(a_end, cuts), np.searchsorted(b_end, cuts)
 
 
@@ -130,21 +204,19 @@ class Aligned:
     ``n_b``, ``n_groups`` and ``n_links``.
     """
 
-    def __init__(self, texts: list[str | None], a: Side, b: Side):
+    def __init__(self, texts: list[str | None], both: Both):
+        a, b = both.sides
         some = [t or "" for t in texts]
         raw, off = text_bytes(pa.array([" " + t if t else "" for t in some], pa.string()))
         size = np.diff(off)
         sides = []
-        for side in (a, b):
-            rows = [ids if t else [] for t, ids in zip(some, side.ids(some))]
-            count = np.array([len(r) for r in rows], np.int64)
-            ids = np.fromiter((i for r in rows for i in r), np.int64, int(count.sum()))
-            sides.append((ids, count, np.repeat(np.arange(len(rows)), count)))
+        for ids, count in both.ids(some):
+            sides.append((ids, np.repeat(np.arange(len(some)), count)))
         good = size > 0
-        for side, (ids, count, owner) in zip((a, b), sides):
+        for side, (ids, owner) in zip((a, b), sides):
             spelled = np.bincount(owner, weights=side.sizes[ids], minlength=len(some)).astype(np.int64) if len(ids) else np.zeros(len(some), np.int64)
             good &= spelled == size
-        for side, (ids, count, owner) in zip((a, b), sides):
+        for side, (ids, owner) in zip((a, b), sides):
             mine = ids[good[owner]] if len(ids) else ids
             want = raw[np.repeat(good, size)]
             same = np.concatenate([[0], np.cumsum(side.spelled(mine) != want)])
@@ -152,7 +224,7 @@ class Aligned:
             good &= same[at[1:]] == same[at[:-1]]
         # Bytes of the texts that count, one after the other: a cut at every text's end is common to both.
         tokens = []
-        for side, (ids, count, owner) in zip((a, b), sides):
+        for side, (ids, owner) in zip((a, b), sides):
             keep = good[owner] if len(ids) else np.zeros(0, bool)
             tokens.append((ids[keep], owner[keep], np.cumsum(side.sizes[ids[keep]])))
         (self.a_ids, a_owner, a_end), (self.b_ids, b_owner, b_end) = tokens
@@ -210,18 +282,27 @@ PACKED = "batch long, pairs array<long>, uses array<long>, doc_id array<long>, n
 FIGURES = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
+def _width(pairs: int) -> str:
+    """Type that holds places in a list of pairs."""
+    return "<u2" if pairs <= 1 << 16 else "<u4"
+
+
 def pack(df: DataFrame, a: str, b: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per batch of texts: figures of its texts, its distinct pairs with their uses, and links as places in them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left, right = tokenizers(a, b)
+        both = tokenizers(a, b)
         number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
         for x in by_bytes(batches, 1, ROWS, BYTES):
-            al = Aligned(x.column(1).to_pylist(), left, right)
-            code = al.a_ids[al.link_a] * WIDTH + al.b_ids[al.link_b]
-            pairs, place, uses = np.unique(code, return_inverse=True, return_counts=True)
-            sha = [hashlib.sha256(s).hexdigest() if s else "" for s in al.spelled_groups()]
-            row = [number, pairs, uses, x.column(0).to_pylist(), al.n_a, al.n_b, al.n_groups, al.n_links, sha, place.astype("<u4").tobytes()]
+            codes, told = [], []
+            # Tokens are held for a part of the batch only, links as one number each.
+            for y in by_bytes([x], 1, ROWS, PART):
+                al = Aligned(y.column(1).to_pylist(), both)
+                codes.append(al.a_ids[al.link_a] * WIDTH + al.b_ids[al.link_b])
+                sha = [hashlib.sha256(s).hexdigest() if s else "" for s in al.spelled_groups()]
+                told.append((al.n_a, al.n_b, al.n_groups, al.n_links, sha))
+            pairs, place, uses = np.unique(np.concatenate(codes), return_inverse=True, return_counts=True)
+            row = [number, pairs, uses, x.column(0).to_pylist(), *[np.concatenate(c) for c in list(zip(*told))[:4]], [h for t in told for h in t[4]], place.astype(_width(len(pairs))).tobytes()]
             number += 1
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, PACKED_ARROW)], schema=PACKED_ARROW)
 
@@ -256,8 +337,8 @@ def align(df: DataFrame, a: str | None = None, b: str | None = None, text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            for r in x.to_pylist():
-                place = np.frombuffer(r["links"], "<u4")
+            for r in (x.slice(i, 1).to_pylist()[0] for i in range(x.num_rows)):
+                place = np.frombuffer(r["links"], _width(len(r["n"] or [])))
                 at = np.concatenate([[0], np.cumsum(r["n_links"])])
                 sums = []
                 for v in (r["best"], r["n"]):
