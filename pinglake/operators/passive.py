@@ -4,14 +4,13 @@ A stretch starts where the signal near the sounder drops from one ping to the ne
 ends where it is back at the level of a baseline ping. The reading is greedy from left to
 right, but where a candidate's stretch would end depends on the signal alone. So ends
 are searched for all candidates at once, in windows that double until each is found, and
-only the choice among overlapping candidates is made in order, per group of overlaps.
+the choice among overlapping candidates follows pointers that double their reach.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -139,33 +138,39 @@ def candidates(df: DataFrame, threshold: float | None = 25.0, deviation: float |
     return c.where(F.col("is_start") | F.col("is_end"))
 
 
+def _next_starts(d: DataFrame, key, rows) -> DataFrame:
+    """Starts with the first start beyond their end (``to``), where that is no head."""
+    key = list(key)
+    # Ends are looked up once each: of a position there are two rows at most, however many starts end there.
+    at = d.select(*key, F.col("s").alias("_at"), F.lit(0).alias("_rank"), F.struct("s", "_head").alias("_to"))
+    ends = d.select(*key, F.col("e").alias("_at")).distinct().withColumns({"_rank": F.lit(1), "_to": F.lit(None).cast(at.schema["_to"].dataType)})
+    u = scan(index_block(at.unionByName(ends), "_at", rows), key, ["_at", "_rank"], {"to": ("next", "_to")}, blocked=True)
+    after = u.where((F.col("_rank") == 1) & ~F.col("to._head")).select(*key, F.col("_at").alias("e"), F.col("to.s").alias("to"))
+    return d.join(after, [*key, "e"]).select(*key, "s", "to")
+
+
 def _choose(starts: DataFrame, key, rows) -> DataFrame:
     """Greedy choice: each taken start rules out the starts up to its end ``e``.
 
-    A start beyond all earlier ends is taken whatever happened before, so the choice
-    falls apart into groups of overlapping candidates. A group whose first end covers
-    all its starts needs no more; the others are read in order, each on its own.
+    A start beyond all earlier ends is taken whatever happened before: it is a head. The others
+    that are taken are those reached from a head by going from a start to the first one beyond its
+    end. Pointers double their reach every round, so a chain of n starts takes log2(n) rounds;
+    starts that nothing points to any more are left behind.
     """
     key = list(key)
-    d = cut(_exclusive_max(starts, key, "s", "e", "_pm", rows), "starts")
-    d = d.withColumn("_new", F.when(F.col("_pm").isNull() | (F.col("_pm") < F.col("s")), 1).otherwise(0)).drop("_pm")
-    d = scan(index_block(d, "s", rows), key, ["s"], {"_isle": ("sum", "_new")}, blocked=True).drop("_new")
-    d = cut(d, "isles")
-    isles = d.groupBy(*key, "_isle").agg(F.min("s").alias("s"), F.min_by("e", "s").alias("e"), F.max("s").alias("_ms"))
-    easy = isles.where(F.col("e") >= F.col("_ms")).select(*key, "s", "e")
-    hard = isles.where(F.col("e") < F.col("_ms")).select(*key, "_isle")
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in starts.select(*key).schema.fields)
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("s")
-        keep, end = [], -1
-        for s, e in zip(pdf["s"], pdf["e"]):
-            keep.append(s > end)
-            end = e if keep[-1] else end
-        return pdf.loc[keep, [*key, "s", "e"]]
-
-    chosen = d.select(*key, "_isle", "s", "e").join(hard, [*key, "_isle"]).groupBy(*key, "_isle").applyInPandas(pick, f"{fields}, s long, e long")
-    return easy.unionByName(chosen)
+    d = _exclusive_max(starts, key, "s", "e", "_pm", rows)
+    d = cut(d.select(*key, "s", "e", (F.col("_pm").isNull() | (F.col("_pm") < F.col("s"))).alias("_head")), "starts")
+    jump = cut(_next_starts(d, key, rows), "jumps")
+    reached = d.where("_head").select(*key, "s")
+    while True:
+        more = cut(reached.join(jump, [*key, "s"]).select(*key, F.col("to").alias("s")), "reached")
+        if more.isEmpty():
+            return d.join(reached, [*key, "s"], "left_semi").select(*key, "s", "e")
+        reached = reached.unionByName(more)
+        # Beyond what is reached, only what a pointer leads to can still be.
+        alive = reached.unionByName(jump.select(*key, F.col("to").alias("s"))).distinct()
+        ahead = jump.select(*key, F.col("s").alias("to"), F.col("to").alias("_far"))
+        jump = cut(jump.join(alive, [*key, "s"], "left_semi").join(ahead, [*key, "to"]).select(*key, "s", F.col("_far").alias("to")), "jumps")
 
 
 def _stretches(cands: DataFrame, near: DataFrame, key, idx, before: int, after: int, window: int, rows) -> DataFrame:

@@ -184,3 +184,35 @@ def test_falls_that_never_return_cost_little(spark, monkeypatch):
     assert found(passive.find_passive(df, window=16)) == {1: [(n // falls, n)]}
     # A round reads each ping about once; every start on its own would read half the recording.
     assert sum(x or 0 for x in looked) <= len(looked) * n < falls * n / 4
+
+
+@pytest.mark.parametrize("block,reach", [(7, 9), (64, 60), (65536, 300)])
+def test_choice_among_overlapping_starts(spark, block, reach):
+    rng = np.random.default_rng(reach)
+    data, want = [], set()
+    for t in range(6):
+        s = np.flatnonzero(rng.random(600) < rng.choice([0.1, 0.5, 1.0]))
+        e = s + rng.integers(0, reach, len(s))
+        if t == 4:
+            e = np.maximum(e, 300)  # half of all starts end in one place
+        data += [(t, int(a), int(b)) for a, b in zip(s, e)]
+        last = -1
+        for a, b in zip(s, e):
+            if a > last:
+                want.add((t, int(a), int(b)))
+                last = b
+    got = passive._choose(spark.createDataFrame(data, "transect_id long, s long, e long").repartition(3), ("transect_id",), block)
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_choice_needs_no_group(spark):
+    """200,000 overlapping starts in one recording: few rounds, no Python, no task with the recording."""
+    starts = spark.range(200_000).select(F.lit(1).cast("long").alias("transect_id"), F.col("id").alias("s"), (F.col("id") + F.pmod(F.xxhash64("id"), F.lit(40))).alias("e"))
+    rows = starts.orderBy("s").collect()
+    last, n = -1, 0
+    for r in rows:
+        if r.s > last:
+            n, last = n + 1, r.e
+    got = passive._choose(starts, ("transect_id",), 4096)
+    assert got.count() == n
+    assert "Python" not in got._jdf.queryExecution().toString() and "Pandas" not in got._jdf.queryExecution().toString()
