@@ -273,43 +273,65 @@ def contour_pieces(df: DataFrame, mask: str, key: Sequence[str] = KEY, idx: str
     )
 
 
-def _link(pdf: pd.DataFrame) -> list[list[tuple[float, float]]]:
-    """Polylines from pieces: open ones from their free start, then closed ones."""
-    a = list(zip(pdf["x0"], pdf["y0"]))
-    b = list(zip(pdf["x1"], pdf["y1"]))
-    nxt = dict(zip(a, b))
-    ends = set(b)
-    out = []
-    for s in sorted(p for p in nxt if p not in ends):
-        line = [s]
-        while line[-1] in nxt:
-            line.append(nxt.pop(line[-1]))
-        out.append(line)
-    while nxt:
-        s = min(nxt)
-        line = [s]
-        while line[-1] in nxt:
-            line.append(nxt.pop(line[-1]))
-        out.append(line)
-    return out
+# A point of a contour as one number that sorts by ping, then depth; coordinates are halves.
+_DEPTHS = 1 << 21
 
 
-def patch_contours(df: DataFrame, mask: str = "mask_patches", min_area: float = 0, key: Sequence[str] = KEY,
-                   idx: str = "ping_index", ts: str = "ts_s", name_suffix: str = "", chunk: int = CHUNK,
-                   rows: int | None = None) -> DataFrame:
-    """Patches as contour regions.
+def _code(x: str, y: str):
+    return (F.col(x) * 2 * _DEPTHS + F.col(y) * 2).cast("long")
+
+
+def linked(pieces: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+    """Contour and place of every piece: columns key, ``at``, ``contour`` and ``pos``.
+
+    ``pieces`` go from the point ``at`` to the point ``to``; at most one begins and one ends at a
+    point. A contour is named by the point it starts from: the free one if it is open, else its
+    smallest. Every piece points to the one before it; a pointer takes over what lies behind the
+    piece it leads to, so reach doubles, and a contour of n pieces takes log2(n) steps. Pieces
+    are rows throughout, and as each is pointed to by one other only, no key is hot.
+    """
+    key = list(key)
+    one, none = F.lit(1).cast("long"), F.lit(None).cast("long")
+    before = pieces.select(*key, F.col("to").alias("at"), F.col("at").alias("back"))
+    s = pieces.select(*key, "at").join(before, [*key, "at"], "left")
+    # A stretch of `steps` pieces that ends here: the one before it, its free start if it has one, its smallest point and how far back that is.
+    s = s.select(*key, "at", "back", one.alias("steps"), F.when(F.col("back").isNull(), F.col("at")).alias("free"), F.col("at").alias("low"), (one - 1).alias("low_at"))
+
+    def doubled(s: DataFrame) -> DataFrame:
+        behind = s.select(*key, F.col("at").alias("back"), *[F.col(c).alias(f"_{c}") for c in ("back", "steps", "free", "low", "low_at")])
+        j = s.join(behind, [*key, "back"], "left")
+        return j.select(
+            *key, "at", F.col("_back").alias("back"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"), F.coalesce("free", "_free").alias("free"),
+            F.least("low", "_low").alias("low"), F.when(F.col("_low") < F.col("low"), F.col("steps") + F.col("_low_at")).otherwise(F.col("low_at")).alias("low_at"), "_moved",
+        )
+
+    s = cut(s, "pieces")
+    while True:
+        # Done when no smaller point turns up and no start is reached: then every stretch covers its contour.
+        mark = F.struct("low", "free").alias("_moved")
+        s = cut(doubled(doubled(s.select("*", mark))).withColumn("_moved", ~F.col("_moved").eqNullSafe(F.struct("low", "free"))), "linked")
+        moved = not s.where("_moved").isEmpty()
+        s = s.drop("_moved")
+        if not moved:
+            break
+    return s.select(*key, "at", F.coalesce("free", "low").alias("contour"), F.when(F.col("free").isNotNull(), F.col("steps") - 1).otherwise(F.col("low_at")).alias("pos"))
+
+
+def contours(df: DataFrame, mask: str = "mask_patches", min_area: float = 0, key: Sequence[str] = KEY,
+             idx: str = "ping_index", ts: str = "ts_s", name_suffix: str = "", chunk: int = CHUNK,
+             rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Patches as contours: a table of regions and a table of their points in order (``number``, ``seq``).
 
     Enclosed holes are filled, contours run at one half between cell centres, positions
     become time and depth by linear interpolation, and contours with an area (in cells)
-    below ``min_area`` are dropped (-1 drops all). A contour ends open at the border. Each
-    region is one row that lists its points, so its contour is put in order in one group,
-    from the pieces on its edge only.
+    below ``min_area`` are dropped (-1 drops all). A contour ends open at the border. Points
+    stay rows: figures of a contour are sums over its pieces, whatever its length.
     """
     key = list(key)
     base = df.select(*key, idx, ts, "depth_start", "depth_stop", F.transform(mask, lambda x: F.coalesce(x, F.lit(False))).alias(mask))
     d = components(cut(fill_enclosed(base, mask, key=key, idx=idx, chunk=chunk), "filled"), mask, key, idx, chunk)
     d = cut(d, "patches")
-    pieces = contour_pieces(d, mask, key, idx, rows)
+    pieces = contour_pieces(d, mask, key, idx, rows).drop("patch")
     if min_area == -1:
         pieces = pieces.where(F.lit(False))
     # Time of the half ping positions, taken along to the points.
@@ -318,55 +340,62 @@ def patch_contours(df: DataFrame, mask: str = "mask_patches", min_area: float =
     pieces = pieces.withColumn("t0", F.col("_t") + (F.col("x0") - F.col("_i")) * F.col("_dt"))
     pieces = pieces.withColumn("_i", F.floor("x1").cast("long")).drop("_t", "_dt").join(t, [*key, "_i"])
     pieces = pieces.withColumn("t1", F.col("_t") + (F.col("x1") - F.col("_i")) * F.col("_dt")).drop("_t", "_dt", "_i")
-    grid = d.groupBy(*key).agg(F.first("depth_start").alias("_a"), F.first("depth_stop").alias("_b"), F.max(F.size(mask)).alias("_n"))
+    grid = d.groupBy(*key).agg(F.first("depth_start").alias("_a"), F.first("depth_stop").alias("_b"), F.max(F.size(mask)).alias("_n"), F.min(ts).alias("_t"))
     pieces = pieces.join(grid, key)
     depth = lambda y: F.col("_a") + F.col(y) * (F.col("_b") - F.col("_a")) / (F.col("_n") - 1)
-    pieces = pieces.select(*key, F.col("patch.c").alias("pc"), F.col("patch.l").alias("pl"), "x0", "y0", "x1", "y1", "t0", depth("y0").alias("d0"), "t1", depth("y1").alias("d1"))
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*key).schema.fields)
-    schema = f"{fields}, pc long, pl int, part int, area double, area_ts double, x_first double, y_first double, x_low double, points array<struct<ts_s:double,depth:double>>"
-
-    def trace(pdf: pd.DataFrame) -> pd.DataFrame:
-        where = {(x, y): (t_, d_) for x, y, t_, d_ in zip(pdf["x0"], pdf["y0"], pdf["t0"], pdf["d0"])}
-        where |= {(x, y): (t_, d_) for x, y, t_, d_ in zip(pdf["x1"], pdf["y1"], pdf["t1"], pdf["d1"])}
-        rows_ = []
-        for k, line in enumerate(_link(pdf)):
-            xy = np.array(line)
-            td = np.array([where[p] for p in line])
-            rows_.append(
-                (*[pdf[c].iloc[0] for c in key], pdf["pc"].iloc[0], pdf["pl"].iloc[0], k, shoelace(xy), shoelace(td - td[0]), xy[0, 0], xy[0, 1], np.ceil(xy[:, 0].min()),
-                 [{"ts_s": p, "depth": q} for p, q in td])
-            )
-        return pd.DataFrame(rows_, columns=[*key, "pc", "pl", "part", "area", "area_ts", "x_first", "y_first", "x_low", "points"])
-
-    c = pieces.groupBy(*key, "pc", "pl").applyInPandas(trace, schema)
-    c = cut(c.where(F.col("area") >= min_area).drop("part"), "contours")
-    c = scan(index_block(c.withColumn("_one", F.lit(1)), "x_first", rows), key, ["x_first", "y_first", "pc", "pl"], {"number": ("sum", "_one")}, blocked=True)
-    return c.select(
+    pieces = cut(pieces.select(*key, _code("x0", "y0").alias("at"), _code("x1", "y1").alias("to"), "x0", "y0", "x1", "y1", "t0", depth("y0").alias("d0"), "t1", depth("y1").alias("d1"), F.col("_t").alias("ref")), "pieces")
+    placed = cut(pieces.join(linked(pieces, key), [*key, "at"]), "contour-pieces")
+    # Twice the area left of a piece, seen from the origin; times from the start of the recording, to keep digits.
+    turn = lambda x0, y0, x1, y1: y0 * (x1 - x0) - x0 * (y1 - y0)
+    c = F.col
+    whole = placed.groupBy(*key, "contour").agg(
+        F.count("*").alias("n"), F.sum(turn(c("x0"), c("y0"), c("x1"), c("y1"))).alias("_a"), F.sum(turn(c("t0") - c("ref"), c("d0"), c("t1") - c("ref"), c("d1"))).alias("_ts"),
+        F.min_by(F.struct("x0", "y0", "t0", "d0", "ref"), "pos").alias("_f"), F.max_by(F.struct("x1", "y1", "t1", "d1"), "pos").alias("_l"), F.ceil(F.least(F.min("x0"), F.min("x1"))).alias("first"),
+        F.least(F.min("t0"), F.min("t1")).alias("ts_start"), F.greatest(F.max("t0"), F.max("t1")).alias("ts_end"),
+        F.least(F.min("d0"), F.min("d1")).alias("top"), F.greatest(F.max("d0"), F.max("d1")).alias("low"),
+    )
+    # An open contour is closed by the way back to its start.
+    f, z = c("_f"), c("_l")
+    area = F.abs(c("_a") + turn(z["x1"], z["y1"], f["x0"], f["y0"])) / 2
+    area_ts = F.abs(c("_ts") + turn(z["t1"] - f["ref"], z["d1"], f["t0"] - f["ref"], f["d0"])) / 2
+    whole = cut(whole.withColumns({"area": area, "area_ts": area_ts, "x_first": f["x0"], "y_first": f["y0"]}).where(F.col("area") >= min_area), "contours")
+    whole = scan(index_block(whole.withColumn("_one", F.lit(1)), "x_first", rows), key, ["x_first", "y_first"], {"number": ("sum", "_one")}, blocked=True)
+    whole = cut(whole.withColumn("number", F.col("number").cast("long")), "numbered")
+    regions = whole.select(
         *key,
         F.lit("patch").alias("kind"),
-        F.col("number").cast("long").alias("number"),
+        "number",
         "area",
         "area_ts",
-        F.col("x_low").cast("long").alias("first"),
-        F.size("points").alias("n_points"),
-        F.array_min(F.transform("points", lambda p: p["ts_s"])).alias("ts_start"),
-        F.array_max(F.transform("points", lambda p: p["ts_s"])).alias("ts_end"),
-        F.array_min(F.transform("points", lambda p: p["depth"])).alias("top"),
-        F.array_max(F.transform("points", lambda p: p["depth"])).alias("low"),
+        F.col("first").cast("long").alias("first"),
+        (F.col("n") + 1).cast("int").alias("n_points"),
+        "ts_start",
+        "ts_end",
+        "top",
+        "low",
         F.concat(F.lit(f"Removed patch{name_suffix} "), F.col("number").cast("string")).alias("region_name"),
         F.format_string(
             "Removed patch\nArea in pixels: %s\nArea in meter-seconds: %s", F.col("area").cast("string"), F.col("area_ts").cast("string")
         ).alias("notes"),
         F.lit(2).alias("creation_type"),
         F.lit(0).alias("region_type"),
-        "points",
     )
+    points = placed.join(whole.select(*key, "contour", "number"), [*key, "contour"]).select(*key, "number", F.col("pos").alias("seq"), F.col("t0").alias("ts_s"), F.col("d0").alias("depth"))
+    ends = whole.select(*key, "number", F.col("n").alias("seq"), z["t1"].alias("ts_s"), z["d1"].alias("depth"))
+    return regions, points.unionByName(ends)
 
 
-def shoelace(xy: np.ndarray) -> float:
-    """Area inside a contour, closed if it is not; always positive."""
-    x, y = np.append(xy[:, 0], xy[0, 0]), np.append(xy[:, 1], xy[0, 1])
-    return float(abs(0.5 * np.sum(y[:-1] * np.diff(x) - x[:-1] * np.diff(y))))
+def patch_contours(df: DataFrame, mask: str = "mask_patches", min_area: float = 0, key: Sequence[str] = KEY,
+                   idx: str = "ping_index", ts: str = "ts_s", name_suffix: str = "", chunk: int = CHUNK,
+                   rows: int | None = None) -> DataFrame:
+    """Contours as a region file holds them: one row per region, which lists its points.
+
+    The row of a very long contour is as long as its line in the file; ``contours`` has the points as rows.
+    """
+    key = list(key)
+    regions, points = contours(df, mask, min_area, key, idx, ts, name_suffix, chunk, rows)
+    listed = points.groupBy(*key, "number").agg(F.array_sort(F.collect_list(F.struct("seq", "ts_s", "depth"))).alias("points"))
+    return regions.join(listed, [*key, "number"]).withColumn("points", F.transform("points", lambda p: F.struct(p["ts_s"].alias("ts_s"), p["depth"].alias("depth"))))
 
 
 # --- Polygons as rows of points ---

@@ -104,6 +104,63 @@ def test_contours(spark):
         assert [r.number for r in sorted(c, key=lambda r: r.first)] == [1, 2, 3, 4]
 
 
+def followed(pieces):
+    """Contours by walking along the pieces: open ones from their free start, closed ones from their smallest point."""
+    nxt, out = dict(pieces), []
+    ends = set(nxt.values())
+    for s in sorted(p for p in nxt if p not in ends):
+        out.append([s])
+        while out[-1][-1] in nxt:
+            out[-1].append(nxt.pop(out[-1][-1]))
+    while nxt:
+        out.append([min(nxt)])
+        while out[-1][-1] in nxt:
+            out[-1].append(nxt.pop(out[-1][-1]))
+    return out
+
+
+def area_of(line):
+    x, y = np.array(line, float).T
+    return abs(np.sum(x * np.roll(y, -1) - y * np.roll(x, -1))) / 2
+
+
+@pytest.mark.parametrize("seed,block", [(3, 4), (4, 65536)])
+def test_contour_points_in_order(spark, seed, block):
+    masks = random_masks(seed)
+    df = frame(spark, masks)
+    full = patches.components(patches.fill_enclosed(df, "mask_patches", chunk=5), "mask_patches", chunk=5)
+    walked = {}
+    for r in patches.contour_pieces(full, "mask_patches").collect():
+        walked.setdefault(r.transect_id, {})[(r.x0, r.y0)] = (r.x1, r.y1)
+    regions, points = patches.contours(df, chunk=5, rows=block)
+    got = {}
+    for r in points.orderBy("transect_id", "number", "seq").collect():
+        got.setdefault(r.transect_id, {}).setdefault(r.number, []).append((r.ts_s - 100 * r.transect_id, r.depth))
+    told = {(r.transect_id, r.number): r for r in regions.collect()}
+    for t, pieces in walked.items():
+        want = sorted(followed(pieces))
+        assert [got[t][k] for k in sorted(got[t])] == want
+        for k, line in zip(sorted(got[t]), want):
+            r = told[(t, k)]
+            assert r.n_points == len(line) and abs(r.area - area_of(line)) < 1e-9 and abs(r.area_ts - area_of(line)) < 1e-6
+            assert (r.top, r.low) == (min(y for _, y in line), max(y for _, y in line))
+    assert len(told) == sum(len(x) for x in got.values())
+    listed = patches.patch_contours(df, chunk=5, rows=block).collect()
+    assert {(r.transect_id, r.number): [(p.ts_s - 100 * r.transect_id, p.depth) for p in r.points] for r in listed} == {(t, k): v for t, x in got.items() for k, v in x.items()}
+
+
+def test_a_long_contour_is_linked_as_rows(spark):
+    """A ring of 30,000 pieces and an open line of 20,000: no group, no Python."""
+    n, m = 30_000, 20_000
+    ring = spark.range(n).select(F.lit(1).alias("transect_id"), (F.pmod(F.col("id") * 7919, F.lit(n)) + 10).alias("at"), (F.pmod((F.col("id") + 1) * 7919, F.lit(n)) + 10).alias("to"))
+    line = spark.range(m).select(F.lit(2).alias("transect_id"), (F.lit(m) - F.col("id")).alias("at"), (F.lit(m) - F.col("id") - 1).alias("to"))
+    got = patches.linked(ring.unionByName(line))
+    assert "Python" not in got._jdf.queryExecution().toString() and "Pandas" not in got._jdf.queryExecution().toString()
+    r = got.groupBy("transect_id", "contour").agg(F.count("*").alias("n"), F.min("pos").alias("a"), F.max("pos").alias("b"), F.countDistinct("pos").alias("d")).orderBy("transect_id").collect()
+    assert [tuple(x) for x in r] == [(1, 10, n, 0, n - 1, n), (2, m, m, 0, m - 1, m)]
+    assert got.where("transect_id = 1 AND pmod(pos * 7919, 30000) + 10 <> at").isEmpty() and got.where("transect_id = 2 AND at <> 20000 - pos").isEmpty()
+
+
 def test_small_patches_are_dropped(spark):
     m = np.zeros((8, 8), bool)
     m[2, 2] = True
