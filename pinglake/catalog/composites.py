@@ -53,20 +53,49 @@ def _blocks(t):
     return t.echo.withColumn("mask_patches", F.transform("sv", lambda _, j: frame(j)))
 
 
-# A whole block is one contour: 8 by 10 cells, each corner cut by an eighth of a cell. A
-# block that the recording's end cuts is open there, and so is what it framed: half a cell
-# less at that side, and two corners.
-_AREA = """,
-n AS (SELECT transect_id, max(ping_index) AS last FROM echo GROUP BY 1),
-b AS (SELECT transect_id, last, unnest(range(0, last // 12 + 1)) * 12 AS b FROM n)
-SELECT transect_id, CAST(b + 2 AS BIGINT) AS first, CASE WHEN b + 9 < last THEN 79.5::DOUBLE ELSE (last - (b + 2) + 0.5::DOUBLE) * 10 - 0.25 END AS area FROM b WHERE b + 2 <= last
-UNION ALL SELECT transect_id, CAST(b + 4 AS BIGINT), (last - (b + 4) + 0.5::DOUBLE) * 6 - 0.25 FROM b WHERE last BETWEEN b + 4 AND b + 7"""
-
-
-@query("u5_patch_contours", "echo", _AREA)
+# A whole block is one closed contour: 8 by 10 cells, from the corner nearest the start along
+# rising depth. A block that the recording's end cuts is open there, and so is what it framed,
+# which is followed the other way round. ``pt``: points in cells; ``td``: their time and depth.
+_CONTOURS = """,
+n AS (SELECT transect_id, max(ping_index) AS last, min(ts_s) AS t0 FROM echo GROUP BY 1),
+b AS (SELECT transect_id, last, b, least(b + 9, last) AS e, b + 9 < last AS whole FROM (SELECT transect_id, last, unnest(range(0, last // 12 + 1)) * 12 AS b FROM n) WHERE b + 2 <= last),
+o AS (SELECT * FROM b WHERE last BETWEEN b + 4 AND b + 7),
+side AS (SELECT unnest(range(20, 30)) AS y),
+pt AS (
+  SELECT transect_id, b + 2 AS first, CASE WHEN whole THEN y - 20 ELSE e - b - 1 + y - 20 END AS seq, b + 1.5::DOUBLE AS x, y::DOUBLE AS y FROM b, side
+  UNION ALL SELECT transect_id, b + 2, CASE WHEN whole THEN 10 + k ELSE e - b + 9 + k END, b + 2 + k, 29.5 FROM (SELECT *, unnest(range(0, e - b - 1)) AS k FROM b)
+  UNION ALL SELECT transect_id, b + 2, 18 + 29 - y, b + 9.5, y FROM b, side WHERE whole
+  UNION ALL SELECT transect_id, b + 2, CASE WHEN whole THEN 28 + 7 - k ELSE e - b - 2 - k END, b + 2 + k, 19.5 FROM (SELECT *, unnest(range(0, e - b - 1)) AS k FROM b)
+  UNION ALL SELECT transect_id, b + 2, 36, b + 1.5, 20 FROM b WHERE whole
+  UNION ALL SELECT transect_id, b + 4, last - b - 4 - k, b + 4 + k, 27.5 FROM (SELECT *, unnest(range(0, last - b - 3)) AS k FROM o)
+  UNION ALL SELECT transect_id, b + 4, last - b - 3 + 27 - y, b + 3.5, y FROM o, side WHERE y BETWEEN 22 AND 27
+  UNION ALL SELECT transect_id, b + 4, last - b + 3 + k, b + 4 + k, 21.5 FROM (SELECT *, unnest(range(0, last - b - 3)) AS k FROM o)
+),
+nr AS (SELECT transect_id, first, row_number() OVER (PARTITION BY transect_id ORDER BY x, y) AS number FROM pt WHERE seq = 0),
+td AS (SELECT pt.transect_id, number, pt.first, seq, x, y, (p.ts_s + q.ts_s) / 2 AS ts_s, p.depth_start + y * (p.depth_stop - p.depth_start) / 63 AS depth
+       FROM pt JOIN nr ON nr.transect_id = pt.transect_id AND nr.first = pt.first JOIN echo p ON p.transect_id = pt.transect_id AND p.ping_index = floor(x) JOIN echo q ON q.transect_id = pt.transect_id AND q.ping_index = ceil(x))"""
+
+
+@query("u5_contour_points", "echo", _CONTOURS + """
+SELECT transect_id, number, CAST(seq AS BIGINT) AS seq, round(ts_s, 4) AS ts_s, round(depth, 6) AS depth FROM td""")
+def _(t):
+    _, points = patches.contours(_blocks(t), chunk=16)
+    return points.select("transect_id", "number", "seq", F.round("ts_s", 4).alias("ts_s"), F.round("depth", 6).alias("depth"))
+
+
+@query("u5_patch_contours", "echo", _CONTOURS + """,
+f AS (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny, lead(ts_s) OVER w AS nt, lead(depth) OVER w AS nd, first_value(x) OVER w AS fx, first_value(y) OVER w AS fy, first_value(ts_s) OVER w AS ft, first_value(depth) OVER w AS fd
+      FROM td WINDOW w AS (PARTITION BY transect_id, number ORDER BY seq))
+SELECT transect_id, number, CAST(any_value(first) AS BIGINT) AS first, round(abs(sum(y * (coalesce(nx, fx) - x) - x * (coalesce(ny, fy) - y))) / 2, 6) AS area,
+  round(abs(sum((depth - fd) * (coalesce(nt, ft) - ts_s) - (ts_s - ft) * (coalesce(nd, fd) - depth))) / 2, 3) AS area_ts, CAST(count(*) AS INT) AS n_points,
+  round(min(ts_s), 4) AS ts_start, round(max(ts_s), 4) AS ts_end, round(min(depth), 6) AS top, round(max(depth), 6) AS low,
+  'Removed patch ' || number AS region_name, ['Removed patch', 'Area in pixels: ' || round(abs(sum(y * (coalesce(nx, fx) - x) - x * (coalesce(ny, fy) - y))) / 2, 6)::DOUBLE] AS notes
+FROM f GROUP BY transect_id, number""")
 def _(t):
-    c = patches.patch_contours(_blocks(t), chunk=16)
-    return c.select("transect_id", "first", F.round("area", 6).alias("area"))
+    c, _ = patches.contours(_blocks(t), chunk=16)
+    r = lambda x, n: F.round(x, n).alias(x)
+    notes = F.slice(F.split("notes", "\n"), 1, 2).alias("notes")
+    return c.select("transect_id", "number", "first", r("area", 6), r("area_ts", 3), "n_points", r("ts_start", 4), r("ts_end", 4), r("top", 6), r("low", 6), "region_name", notes)
 
 
 @query("u6_patches_to_cells", "samp", """
