@@ -36,33 +36,67 @@ def index_block(df: DataFrame, idx: str = "ping_index", rows: int | None = None)
 
 # Cut points per recording that value_block takes from the data.
 SPLITS = 128
+# A recording with more than this share of all rows is heavy: there are fewer than so many.
+HEAVY = 1000
+_INNER = 1 << 20
 
 
-def value_block(df: DataFrame, key: Sequence[str], x: str, rows: int | None = None) -> DataFrame:
+def with_facts(df: DataFrame, facts: DataFrame, key: Sequence[str], count: str) -> DataFrame:
+    """Rows with the facts of their recording; rows of recordings without facts keep NULLs.
+
+    ``facts`` has one row per recording and in ``count`` how many rows it has. Recordings with
+    more than a thousandth of all rows are at most a thousand, so their facts are broadcast and
+    their rows need not come together. The rows of the others are joined by recording, where none
+    weighs more than that; heavy rows pass that join spread by their contents, without a partner.
+    """
+    key = list(key)
+    names = [c for c in facts.columns if c not in (*key, count)]
+    f = facts.select(*key, count, F.struct(*names).alias("_facts"))
+    least = f.agg(F.sum(count).alias("_all")).scalar() / HEAVY
+    heavy = F.broadcast(f.where(F.col(count) > least).select(*key, F.col("_facts").alias("_heavy")))
+    light = f.where(F.col(count) <= least).select(*key, "_facts", F.lit(0).cast("long").alias("_slot"))
+    plain = [c.name for c in df.schema.fields if c.dataType.typeName() not in ("array", "map", "struct", "variant")]
+    slot = F.when(F.col("_heavy").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64(*plain), F.lit(1 << 20)) + 1)
+    d = df.join(heavy, key, "left").withColumn("_slot", slot).join(light, [*key, "_slot"], "left")
+    return d.select(*df.columns, *[F.coalesce(F.col("_heavy")[c], F.col("_facts")[c]).alias(c) for c in names])
+
+
+def value_block(df: DataFrame, key: Sequence[str], x: str, rows: int | None = None, tie: str | None = None) -> DataFrame:
     """Add the block of an arbitrary order column, from cut points that the data give.
 
     A recording's range is cut at ``SPLITS`` approximate quantiles (one sketch per recording,
     built before the shuffle), so far-off values do not crowd the others into one block. Up to
     ``SPLITS`` blocks, neighbouring pieces are joined; beyond, each piece is cut again evenly.
-    Equal values share a block.
+    Equal values share a block, unless ``tie`` names a numeric second order column: a value that
+    fills two blocks or more is then cut along that column, evenly over its range.
     """
     r = _rows(df, rows)
     v = F.col(x).cast("double")
     cuts = F.percentile_approx(v, [i / SPLITS for i in range(1, SPLITS)], 10000)
-    stats = df.groupBy(*key).agg(cuts.alias("_cuts"), F.min(v).alias("_lo"), F.max(v).alias("_hi"), F.ceil(F.count(F.lit(1)) / F.lit(r)).cast("long").alias("_blocks"))
-    piece = F.size(F.filter("_cuts", lambda c: c <= v)).cast("long")
+    n = F.count(F.lit(1))
+    stats = [cuts.alias("_cuts"), F.min(v).alias("_lo"), F.max(v).alias("_hi"), F.ceil(n / F.lit(r)).cast("long").alias("_blocks"), n.alias("_rows")]
+    if tie:
+        t = F.col(tie).cast("double")
+        stats += [F.min(t).alias("_tlo"), F.max(t).alias("_thi")]
+    d = with_facts(df, df.groupBy(*key).agg(*stats), key, "_rows")
+    cut_at_most = F.size(F.filter("_cuts", lambda c: c <= v)).cast("long")
+    d = d.withColumn("_piece", F.when(F.col("_blocks") > 1, cut_at_most).otherwise(F.lit(0)))
     lo = F.coalesce(F.get("_cuts", (F.col("_piece") - 1).cast("int")), F.col("_lo"))
     hi = F.coalesce(F.get("_cuts", F.col("_piece").cast("int")), F.col("_hi"))
     parts = F.ceil(F.col("_blocks") / SPLITS)
     inner = F.when(hi > lo, F.least(F.floor((v - lo) / (hi - lo) * parts), parts - 1)).otherwise(F.lit(0))
     few = F.floor(F.col("_piece") * F.col("_blocks") / SPLITS)
-    b = F.when(F.col("_blocks") <= 1, F.lit(0)).when(F.col("_blocks") <= SPLITS, few).otherwise(F.col("_piece") * parts + inner)
-    return (
-        df.join(stats, list(key), "left")
-        .withColumn("_piece", F.when(F.col("_blocks") > 1, piece).otherwise(F.lit(0)))
-        .withColumn(BLOCK, F.coalesce(b, F.lit(0)).cast("long"))
-        .drop("_cuts", "_lo", "_hi", "_blocks", "_piece")
-    )
+    outer = F.when(F.col("_blocks") <= 1, F.lit(0)).when(F.col("_blocks") <= SPLITS, few).otherwise(F.col("_piece") * parts + inner)
+    drop = ["_cuts", "_lo", "_hi", "_blocks", "_piece"]
+    if not tie:
+        return d.withColumn(BLOCK, F.coalesce(outer, F.lit(0)).cast("long")).drop(*drop)
+    # How many cut points a value takes says how many blocks it fills.
+    d = d.withColumn("_full", F.floor(F.size(F.filter("_cuts", lambda c: c == v)) * F.col("_blocks") / SPLITS).cast("long"))
+    even = F.when(F.col("_thi") > F.col("_tlo"), F.least(F.floor((t - F.col("_tlo")) / (F.col("_thi") - F.col("_tlo")) * F.col("_full")), F.col("_full") - 1)).otherwise(F.lit(0))
+    # The block before those of larger values, after whatever of smaller ones it may hold.
+    last = F.when(F.col("_blocks") <= SPLITS, few).otherwise(F.col("_piece") * parts) - 1
+    b = F.when(F.col("_full") >= 2, last * _INNER + 1 + F.coalesce(even, F.lit(0))).otherwise(outer * _INNER)
+    return d.withColumn(BLOCK, F.coalesce(b, F.lit(0)).cast("long")).drop(*drop, "_tlo", "_thi", "_full")
 
 
 def in_block(key: Sequence[str], *order) -> Window:
@@ -162,10 +196,13 @@ def dense_index(df: DataFrame, key: Sequence[str], order: Sequence[str], out: st
                 rows: int | None = None, total: str | None = None) -> DataFrame:
     """0-based position within the recording; ``order[0]`` must be numeric.
 
-    Works like a row number by recording, one block at a time. ``total`` names a column
-    for the recording's row count, which the block counts give for nothing.
+    Works like a row number by recording, one block at a time; a numeric second order column
+    splits values that many rows share. ``total`` names a column for the recording's row count,
+    which the block counts give for nothing.
     """
-    d = value_block(df, key, order[0], rows)
+    numeric = ("byte", "short", "integer", "long", "float", "double", "decimal")
+    tie = order[1] if len(order) > 1 and df.schema[order[1]].dataType.typeName() in numeric else None
+    d = value_block(df, key, order[0], rows, tie)
     counts = d.groupBy(*key, BLOCK).agg(F.count(F.lit(1)).alias("_n"))
     past = Window.partitionBy(*key).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     whole = [F.sum("_n").over(Window.partitionBy(*key)).alias(total)] if total else []

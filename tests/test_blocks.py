@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pinglake.operators import asof, runs
-from pinglake.operators.blocks import BLOCK, dense_index, index_block, scan, shift, value_block
+from pinglake.operators.blocks import BLOCK, HEAVY, dense_index, index_block, scan, shift, value_block, with_facts
 from pinglake.operators.quantiles import quantiles
 
 KEY = ["transect_id"]
@@ -189,3 +189,39 @@ def test_far_values_do_not_fill_a_block(spark, n, rows, far):
     df = spark.range(n).select(F.lit(1).alias("transect_id"), x.alias("x"))
     sizes = [r["count"] for r in value_block(df, KEY, "x", rows).groupBy(BLOCK).count().collect()]
     assert sum(sizes) == n and max(sizes) <= 2 * rows
+
+
+def test_one_time_stamp_for_all_rows_fits_in_blocks(spark):
+    """Equal values fill several blocks when a second column orders them."""
+    n = 6000
+    x = F.when(F.col("id") < 1500, F.col("id") * 0.5).when(F.col("id") < 5500, 1000.0).otherwise(F.col("id") * 1.0)
+    df = spark.range(n).select(F.lit(1).alias("transect_id"), x.alias("x"), F.pmod(F.col("id") * 7919, F.lit(n)).alias("y")).union(spark.range(40).selectExpr("2", "7.0", "id"))
+    for rows in (100, 20, 1000, 100_000):
+        got = dense_index(df.repartition(3), KEY, ["x", "y"], "i", rows).collect()
+        want = {}
+        for r in sorted((r.transect_id, r.x, r.y) for r in got):
+            want.setdefault(r[0], []).append(r)
+        assert all(want[r.transect_id][r.i] == (r.transect_id, r.x, r.y) for r in got) and len(got) == n + 40
+        sizes = [r["count"] for r in value_block(df, KEY, "x", rows, "y").groupBy("transect_id", BLOCK).count().collect()]
+        assert max(sizes) <= 3 * rows + n // 128
+
+
+def test_facts_of_heavy_recordings_are_not_joined_by_key(spark):
+    rows = [(1, i, [float(i)]) for i in range(3000)] + [(100 + i, i, None) for i in range(2 * HEAVY)] + [(None, 5, None)]
+    df = spark.createDataFrame(rows, "transect_id long, i long, sv array<double>").repartition(4)
+    facts = df.groupBy("transect_id").agg(F.count("*").alias("n"), F.sum("i").alias("s"), F.max("i").alias("m")).where("transect_id <> 105")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        d = with_facts(df, facts, KEY, "n")
+        got = {(r.transect_id, r.i): (r.s, r.m, r.sv) for r in d.collect()}
+        plan = d._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    s = sum(range(3000))
+    assert got == {(t, i): ((s, 2999, v) if t == 1 else (None, None, v) if t in (105, None) else (i, i, v)) for t, i, v in rows}
+    # Rows themselves move by (recording, slot) only; by recording alone move partial sums.
+    final = plan.split("Initial Plan")[0]
+    assert "BroadcastHashJoin" in final and "_slot" in final
+    for line in final.splitlines():
+        assert not ("hashpartitioning(transect_id" in line and "_slot" not in line and "sv" in line)
