@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import block_rows
+from ..session import block_rows, cut
 
 BLOCK = "_block"
 HOME = "_home"
@@ -51,7 +51,8 @@ def with_facts(df: DataFrame, facts: DataFrame, key: Sequence[str], count: str)
     """
     key = list(key)
     names = [c for c in facts.columns if c not in (*key, count)]
-    f = facts.select(*key, count, F.struct(*names).alias("_facts"))
+    # Stored, as it is read three times: what all add up to, heavy ones, light ones.
+    f = cut(facts.select(*key, count, F.struct(*names).alias("_facts")), "facts")
     least = f.agg(F.sum(count).alias("_all")).scalar() / HEAVY
     heavy = F.broadcast(f.where(F.col(count) > least).select(*key, F.col("_facts").alias("_heavy")))
     light = f.where(F.col(count) <= least).select(*key, "_facts", F.lit(0).cast("long").alias("_slot"))
@@ -61,6 +62,12 @@ def with_facts(df: DataFrame, facts: DataFrame, key: Sequence[str], count: str)
     return d.select(*df.columns, *[F.coalesce(F.col("_heavy")[c], F.col("_facts")[c]).alias(c) for c in names])
 
 
+def join_facts(df: DataFrame, facts: DataFrame, key: Sequence[str]) -> DataFrame:
+    """``with_facts`` for facts that do not say how many rows a recording has."""
+    n = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows"))
+    return with_facts(df, facts.join(n, list(key)), key, "_rows")
+
+
 def value_block(df: DataFrame, key: Sequence[str], x: str, rows: int | None = None, tie: str | None = None) -> DataFrame:
     """Add the block of an arbitrary order column, from cut points that the data give.
 

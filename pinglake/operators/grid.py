@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..session import cut
-from .blocks import scan
+from .blocks import join_facts, scan
 from .quantiles import quantiles
 
 KEY = ("transect_id",)
@@ -75,7 +75,7 @@ def regrid(df: DataFrame, how: str = "mode", skip: int = 0, threshold: float = 0
         a = grouped_mode(same, key, "depth_start", "grid_start")
         b = grouped_mode(same, key, "depth_stop", "grid_stop")
     grid = cut(n.join(a, list(key)).join(b, list(key)), "grid")
-    d = d.join(grid, list(key))
+    d = join_facts(d, grid, key)
     down = F.col("depth_start") < F.col("depth_stop")
     d = d.withColumns(
         {
@@ -193,7 +193,7 @@ def normalise(df: DataFrame, center="mean", deviation="stdev", robust2stdev: boo
     """Shift by the centre and divide by the spread of the recording."""
     if isinstance(center, str) or isinstance(deviation, str):
         st = signal_stats(df, center, deviation, robust2stdev, key, idx, value, rows)
-        d = df.join(st, list(key))
+        d = join_facts(df, st, key)
     else:
         d = df.withColumns({"center": F.lit(float(center)), "deviation": F.lit(float(deviation))})
     c, s = F.col("center"), F.col("deviation")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from .asof import fill_linear, interpolate_onto
+from .blocks import with_facts
 
 KEY = ("transect_id",)
 UNDEFINED_DEPTH = -10000.99  # fixed value: marks an undefined depth in line files
@@ -237,9 +238,9 @@ def autocrop_limits(df: DataFrame, threshold: float = 0.35, min_depth: float | N
     """
     from .quantiles import quantiles  # noqa: PLC0415
 
-    live = df.groupBy(*key).agg(F.bool_or(~F.col("is_passive")).alias("_any"))
+    live = df.groupBy(*key).agg(F.bool_or(~F.col("is_passive")).alias("_any"), F.count(F.lit(1)).alias("_rows"))
     up = F.col("is_upfacing")
-    d = df.join(live, list(key)).where(~F.col("_any") | ~F.col("is_passive"))
+    d = with_facts(df, live, key, "_rows").where(~F.col("_any") | ~F.col("is_passive"))
     d = d.withColumn("_line", F.when(up, F.col("surface")).otherwise(F.col("bottom")))
     q = quantiles(d, key, "_line", [0.02275, 0.97725]).drop("_count")
     ext = d.groupBy(*key).agg(F.min("_line").alias("_lmin"), F.max("_line").alias("_lmax"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..session import cut
 from .asof import nearest_cell
-from .blocks import index_block, scan, shift, value_block
+from .blocks import index_block, join_facts, scan, shift, value_block, with_facts
 
 KEY = ("transect_id",)
 CHUNK = 1024  # pings labelled together in one task
@@ -122,42 +122,78 @@ def _chunk_links(labelled: DataFrame, key, idx: str, chunk: int) -> DataFrame:
     return last.join(first, [*key, "chunk", "j"]).select(*key, (F.col("chunk") - 1).alias("c0"), "l0", F.col("chunk").alias("c1"), "l1").distinct()
 
 
+# The border of a recording as a label: below all others.
+_BORDER = -1
+
+
+def _label(c, l):  # noqa: E741
+    return F.struct(F.col(c).alias("c"), F.col(l).alias("l"))
+
+
+def _roots(edges: DataFrame, key, border: DataFrame | None = None) -> DataFrame:
+    """(u, r): the smallest label that each label in ``edges`` (u, v, both ways) reaches.
+
+    Labels in ``border`` touch the border, which is smaller than all. A round takes the smallest
+    root among a label's neighbours, hands it to the label's own root, and follows what that has
+    learnt, so reach doubles and an area over n chunks settles in about log2(n) rounds. A label that has reached the border is
+    done: it is looked at by its neighbours only, so the border itself, which may touch most
+    labels, is never a key of a join.
+    """
+    key = list(key)
+    best = edges.groupBy(*key, "u").agg(F.least(F.min("v"), F.first("u")).alias("r"))
+    if border is not None:
+        on = border.select(*key, "u", F.lit(True).alias("_on"))
+        best = best.join(on, [*key, "u"], "full_outer")
+        end = F.struct(F.lit(_BORDER).cast("long").alias("c"), F.lit(0).alias("l"))
+        best = best.select(*key, "u", F.when(F.col("_on"), end).otherwise(F.col("r")).alias("r"))
+    best = cut(best, "roots")
+    while not best.isEmpty():
+        near = edges.join(best.select(*key, F.col("u").alias("v"), F.col("r").alias("rv")), [*key, "v"]).groupBy(*key, "u").agg(F.min("rv").alias("rn"))
+        jump = best.select(*key, F.col("u").alias("r"), F.col("r").alias("rr"))
+        done, still = best.where(F.col("r.c") == _BORDER), best.where(F.col("r.c") != _BORDER)
+        still = still.join(near, [*key, "u"], "left")
+        hung = still.where("rn < r").groupBy(*key, F.col("r").alias("u")).agg(F.min("rn").alias("rh"))
+        new = still.join(hung, [*key, "u"], "left").join(jump, [*key, "r"], "left")
+        least = F.least("r", "rn", "rr", "rh")
+        new = new.select(*key, "u", least.alias("r"), (least < F.col("r")).alias("changed"))
+        new = cut(new.unionByName(done.withColumn("changed", F.lit(False))), "roots")
+        moved = not new.where("changed").isEmpty()
+        best = new.drop("changed")
+        if not moved:
+            break
+    return best
+
+
+def _edges(labelled: DataFrame, key, idx: str, chunk: int) -> DataFrame:
+    links = _chunk_links(labelled, key, idx, chunk)
+    a, b = _label("c0", "l0"), _label("c1", "l1")
+    return cut(links.select(*key, a.alias("u"), b.alias("v")).unionByName(links.select(*key, b.alias("u"), a.alias("v"))), "links")
+
+
 def fill_enclosed(df: DataFrame, mask: str = "mask", out: str | None = None, key: Sequence[str] = KEY, idx: str = "ping_index",
                   chunk: int = CHUNK) -> DataFrame:
     """Set the clear cells that no 4-connected path of clear cells joins to the border.
 
     Clear areas are labelled per chunk; those touching the border of the recording are
-    outside. Areas open only at a chunk edge learn it from the neighbouring chunk, round
-    by round. Only labels at chunk edges take part in the rounds.
+    outside. Areas open only at a chunk edge are outside if the labels they are linked to
+    lead to the border. Only labels at chunk edges take part in the rounds.
     """
     out = out or mask
     key = list(key)
     clear = df.withColumn("_clear", F.transform(mask, lambda x: ~F.coalesce(x, F.lit(False))))
     lab = cut(label_cells(clear, "_clear", key, idx, chunk), "labels")
-    n = lab.groupBy(*key).agg(F.max(idx).alias("_last"), F.min(idx).alias("_first"))
-    edge = lab.join(n, key).withColumn(
+    n = lab.groupBy(*key).agg(F.max(idx).alias("_last"), F.min(idx).alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    edge = with_facts(lab, n, key, "_rows").withColumn(
         "_on",
         F.when((F.col(idx) == F.col("_first")) | (F.col(idx) == F.col("_last")), F.array_distinct("labels")).otherwise(
             F.array(F.get("labels", F.lit(0)), F.get("labels", F.size("labels") - 1))
         ),
     )
-    outside = edge.select(*key, "chunk", F.explode("_on").alias("l")).where("l > 0").distinct()
-    links = _chunk_links(lab, key, idx, chunk)
-    both = links.select(*key, F.col("c0").alias("chunk"), F.col("l0").alias("l"), F.col("c1").alias("to_c"), F.col("l1").alias("to_l")).unionByName(
-        links.select(*key, F.col("c1").alias("chunk"), F.col("l1").alias("l"), F.col("c0").alias("to_c"), F.col("l0").alias("to_l"))
-    )
-    outside = cut(outside, "outside")
-    both = cut(both, "links")
-    front = outside
-    while True:
-        more = front.join(both, [*key, "chunk", "l"]).select(*key, F.col("to_c").alias("chunk"), F.col("to_l").alias("l")).distinct()
-        more = cut(more.join(outside, [*key, "chunk", "l"], "left_anti"), "front")
-        if more.isEmpty():
-            break
-        outside, front = outside.unionByName(more), more
+    border = edge.select(*key, "chunk", F.explode("_on").alias("l")).where("l > 0").distinct().select(*key, _label("chunk", "l").alias("u"))
+    roots = _roots(_edges(lab, key, idx, chunk), key, cut(border, "border"))
     # One set of outside labels per chunk: no larger than the chunk's border.
-    sets = outside.groupBy(*key, "chunk").agg(F.collect_set("l").alias("_out"))
-    filled = lab.join(sets, [*key, "chunk"], "left").select(
+    outside = roots.where(F.col("r.c") == _BORDER).groupBy(*key, F.col("u.c").alias("chunk")).agg(F.collect_set("u.l").alias("_out"))
+    filled = lab.join(outside, [*key, "chunk"], "left").select(
         *key, idx, F.transform("labels", lambda x: (x == 0) | ~F.coalesce(F.array_contains("_out", x), F.lit(False))).alias("_filled")
     )
     return df.join(filled, [*key, idx]).withColumn(out, F.col("_filled")).drop("_filled")
@@ -166,27 +202,11 @@ def fill_enclosed(df: DataFrame, mask: str = "mask", out: str | None = None, key
 def components(df: DataFrame, mask: str, key: Sequence[str] = KEY, idx: str = "ping_index", chunk: int = CHUNK) -> DataFrame:
     """Labels of 4-connected set cells over whole recordings.
 
-    Adds array ``patch_c``/``patch_l``: chunk and label of the patch's smallest member (0
-    where clear). Labels that touch across chunk edges take the smallest (chunk, label)
-    they reach; each round also jumps along what was learnt before, so a patch over many
-    chunks settles in a logarithmic number of rounds.
+    Adds array ``patch``: chunk and label of the patch's smallest member (NULL where clear).
     """
     key = list(key)
     lab = cut(label_cells(df, mask, key, idx, chunk), "labels")
-    links = _chunk_links(lab, key, idx, chunk)
-    a, b = F.struct(F.col("c0").alias("c"), F.col("l0").alias("l")), F.struct(F.col("c1").alias("c"), F.col("l1").alias("l"))
-    edges = cut(links.select(*key, a.alias("u"), b.alias("v")).unionByName(links.select(*key, b.alias("u"), a.alias("v"))), "links")
-    best = cut(edges.groupBy(*key, "u").agg(F.least(F.min("v"), F.first("u")).alias("r")), "roots")
-    while not best.isEmpty():
-        near = edges.join(best.select(*key, F.col("u").alias("v"), F.col("r").alias("rv")), [*key, "v"]).groupBy(*key, "u").agg(F.min("rv").alias("rn"))
-        jump = best.select(*key, F.col("u").alias("r"), F.col("r").alias("rr"))
-        new = best.join(near, [*key, "u"], "left").join(jump, [*key, "r"], "left")
-        new = new.select(*key, "u", F.least("r", "rn", "rr").alias("r"), (F.least("r", "rn", "rr") < F.col("r")).alias("changed"))
-        new = cut(new, "roots")
-        moved = not new.where("changed").isEmpty()
-        best = new.drop("changed")
-        if not moved:
-            break
+    best = _roots(_edges(lab, key, idx, chunk), key)
     per = best.groupBy(*key, F.col("u.c").alias("chunk")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("u.l"), F.col("r")))).alias("_m"))
     d = lab.join(per, [*key, "chunk"], "left")
     root = lambda x: F.coalesce(F.try_element_at("_m", x), F.struct(F.col("chunk").alias("c"), x.alias("l")))
@@ -341,7 +361,7 @@ def contours(df: DataFrame, mask: str = "mask_patches", min_area: float = 0, key
     pieces = pieces.withColumn("_i", F.floor("x1").cast("long")).drop("_t", "_dt").join(t, [*key, "_i"])
     pieces = pieces.withColumn("t1", F.col("_t") + (F.col("x1") - F.col("_i")) * F.col("_dt")).drop("_t", "_dt", "_i")
     grid = d.groupBy(*key).agg(F.first("depth_start").alias("_a"), F.first("depth_stop").alias("_b"), F.max(F.size(mask)).alias("_n"), F.min(ts).alias("_t"))
-    pieces = pieces.join(grid, key)
+    pieces = join_facts(pieces, grid, key)
     depth = lambda y: F.col("_a") + F.col(y) * (F.col("_b") - F.col("_a")) / (F.col("_n") - 1)
     pieces = cut(pieces.select(*key, _code("x0", "y0").alias("at"), _code("x1", "y1").alias("to"), "x0", "y0", "x1", "y1", "t0", depth("y0").alias("d0"), "t1", depth("y1").alias("d1"), F.col("_t").alias("ref")), "pieces")
     placed = cut(pieces.join(linked(pieces, key), [*key, "at"]), "contour-pieces")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..session import block_rows, cut
 from .asof import linear_between
-from .blocks import BLOCK, dense_index, scan, value_block
+from .blocks import BLOCK, dense_index, scan, value_block, with_facts
 from .quantiles import quantiles
 from .smooth import gaussian_time
 
@@ -120,9 +120,9 @@ def head_of(df: DataFrame, order: Sequence[str], n: int = 1) -> DataFrame:
 
 def reflect_time(df: DataFrame, seed: int, p: float = 0.5, key: Sequence[str] = KEY, idx: str = "ping_index") -> DataFrame:
     """Reverse the pings of randomly chosen windows; only the index changes."""
-    n = df.groupBy(*key).agg(F.max(idx).alias("_last"), F.min(idx).alias("_first"))
+    n = df.groupBy(*key).agg(F.max(idx).alias("_last"), F.min(idx).alias("_first"), F.count(F.lit(1)).alias("_rows"))
     u = uniform(seed, key, "reflect")
-    return df.join(n, list(key)).withColumn(idx, F.when(u <= p, F.col("_last") + F.col("_first") - F.col(idx)).otherwise(F.col(idx))).drop("_last", "_first")
+    return with_facts(df, n, key, "_rows").withColumn(idx, F.when(u <= p, F.col("_last") + F.col("_first") - F.col(idx)).otherwise(F.col(idx))).drop("_last", "_first")
 
 
 def jitter_range(value: float | tuple[float, float], center: float, floor: float = float("-inf")) -> tuple[float, float]:
@@ -145,9 +145,9 @@ def colour_jitter(df: DataFrame, seed: int, brightness=0.0, contrast=0.0, key: S
 
 def crop_width(df: DataFrame, seed: int, max_fraction: float, key: Sequence[str] = KEY, idx: str = "ping_index") -> DataFrame:
     """Centred crop in time by a random fraction; the index starts at 0 again."""
-    n = df.groupBy(*key).agg((F.max(idx) + 1).alias("_n"))
+    n = df.groupBy(*key).agg((F.max(idx) + 1).alias("_n"), F.count(F.lit(1)).alias("_rows"))
     amount = uniform(seed, key, "width") * max_fraction * F.col("_n")
-    d = df.join(n, list(key)).withColumns({"_l": F.floor(amount / 2), "_r": F.floor(amount / 2) + F.col("_n") - F.floor(amount)})
+    d = with_facts(df, n, key, "_rows").withColumns({"_l": F.floor(amount / 2), "_r": F.floor(amount / 2) + F.col("_n") - F.floor(amount)})
     d = d.where((F.col(idx) >= F.col("_l")) & (F.col(idx) < F.col("_r")))
     return d.withColumn(idx, (F.col(idx) - F.col("_l")).cast("long")).drop("_l", "_r", "_n")
 

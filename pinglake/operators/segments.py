@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .blocks import index_block, scan, shift
+from .blocks import index_block, join_facts, scan, shift
 from .quantiles import quantiles
 
 KEY = ("transect_id",)
@@ -26,7 +26,7 @@ def split_gaps(df: DataFrame, threshold: float = 20, percentile: float = 97.5, k
     steps = shift(df.select(*key, idx, ts), key, {"_pt": (ts, 1)}, idx, rows)
     steps = cut(steps.select(*key, idx, (F.col(ts) - F.col("_pt")).alias("_dt")), "steps")
     base = quantiles(steps, key, "_dt", [percentile / 100.0], rows=rows).select(*key, F.get("q", F.lit(0)).alias("_q"))
-    d = steps.join(base, list(key), "left")
+    d = join_facts(steps, base, key)
     # Breaks are few: the pings are numbered from the table of breaks' running count.
     d = d.withColumn("_break", F.coalesce((F.col("_dt") > F.col("_q") * threshold).cast("int"), F.lit(0)))
     seg = scan(cut(d.select(*key, idx, "_break"), "breaks"), key, [idx], {out: ("sum", "_break")}, rows=rows).drop("_break")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .blocks import with_facts
 from .grid import samples
 from .quantiles import quantiles
 
@@ -77,11 +78,11 @@ def echo_integration(df: DataFrame, minutes: float | None = 0.5, metres: float |
     means one bin. Samples above line ``above``, below line ``below`` or in pings flagged
     ``bad`` are left out. The mean is taken in linear units.
     """
-    t0 = df.groupBy(*key).agg(F.min(ts).alias("_t0"))
+    t0 = df.groupBy(*key).agg(F.min(ts).alias("_t0"), F.count(F.lit(1)).alias("_rows"))
     d = df.where(~F.col(bad)) if bad else df
     lines = [c for c in dict.fromkeys([reference, above, below]) if c]
     step = (F.col("depth_stop") - F.col("depth_start")) / (F.size(value) - 1)
-    d = d.join(t0, list(key)).select(
+    d = with_facts(d, t0, key, "_rows").select(
         *key, (F.floor((F.col(ts) - F.col("_t0")) / (60 * minutes)) if minutes else F.lit(0)).cast("long").alias("time_bin"),
         "depth_start", step.alias("_step"), *lines, F.posexplode(value).alias("j", "v"),
     )

@@ -69,6 +69,23 @@ def test_fill_across_chunks(spark, chunk):
         assert [got[(t, i)] for i in range(len(m))] == want.tolist(), t
 
 
+@pytest.mark.parametrize("n,bound", [(4096, 15)])
+def test_a_corridor_over_many_chunks_takes_few_rounds(spark, monkeypatch, n, bound):
+    """A chain of labels from the border, and one that is closed off: rounds grow with the logarithm."""
+    rounds = []
+    kept = patches.cut
+    monkeypatch.setattr(patches, "cut", lambda df, name="x": (rounds.append(name), kept(df, name))[1])
+    at = lambda c: F.struct(c.cast("long").alias("c"), F.lit(1).alias("l"))
+    i = F.col("id")
+    half = spark.range(n - 1).select("id", F.explode(F.array(F.lit(1), F.lit(2))).alias("transect_id")).select("transect_id", at(i).alias("u"), at(i + 1).alias("v"))
+    edges = half.unionByName(half.select("transect_id", F.col("v").alias("u"), F.col("u").alias("v"))).cache()
+    border = spark.range(1).select(F.lit(1).alias("transect_id"), at(F.lit(n - 1)).alias("u"))
+    got = patches._roots(edges, ["transect_id"], border)
+    r = got.groupBy("transect_id", F.col("r.c").alias("c")).count().orderBy("transect_id").collect()
+    assert [tuple(x) for x in r] == [(1, -1, n), (2, 0, n)]
+    assert len(rounds) - 1 <= bound, len(rounds)
+
+
 @pytest.mark.parametrize("chunk", [3])
 def test_components_across_chunks(spark, chunk):
     masks = random_masks(9)
