@@ -13,9 +13,10 @@ and masks the loss to the texts of assistants. Everything is DataFrame functions
 
 Defined cases: a null text is empty; a null role is empty; a null order sorts first and ties are
 ordered by role and text; repeated rows are repeated turns; an empty table gives an empty table;
-extra columns of a known layout change its fingerprint and are therefore dropped by name before it
-is taken (:func:`turns` reads only columns that some mapping names). One conversation is one output
-row, so a row needs memory for its own conversation.
+columns and fields that no mapping names make no part of the fingerprint and are not read; a table
+with the fields of two layouts is an error, such a record has null turns, like one of no known
+layout. One conversation is one output row, so a row needs memory for its own conversation, however
+long its texts.
 """
 
 from __future__ import annotations
@@ -57,6 +58,10 @@ MAPPINGS = (
     Mapping("rows", ("conv_id", "turn", "role", "text"), ("conv_id", "role", "text", "turn")),
     Mapping("list", ("messages", "role", "content"), ("messages", "messages[].content", "messages[].role"), _NAMES),
     Mapping("list", ("conversations", "from", "value"), ("conversations", "conversations[].from", "conversations[].value"), _NAMES),
+    Mapping(
+        "list", ("request.messages", "author.role", "content.text"),
+        ("request", "request.messages", "request.messages[].author", "request.messages[].author.role", "request.messages[].content", "request.messages[].content.text"), _NAMES,
+    ),
     Mapping("fields", (("user", ("prompt",)), (ASSISTANT, ("response",))), ("prompt", "response")),
     Mapping("fields", (("user", ("prompt",)), (ASSISTANT, ("completion",))), ("completion", "prompt")),
     Mapping("fields", (("user", ("instruction", "input")), (ASSISTANT, ("output",))), ("input", "instruction", "output")),
@@ -66,6 +71,15 @@ MAPPINGS = (
 )
 
 
+# All paths that some mapping names; only these make a fingerprint, so other fields do not matter.
+NAMED = frozenset(p for m in MAPPINGS for p in m.paths)
+
+
+def _split(path: str) -> tuple[str, str]:
+    parent, _, leaf = path.rpartition(".")
+    return parent, leaf
+
+
 def paths(kind: T.DataType, prefix: str = "") -> list[str]:
     """Nested field paths of a type; ``[]`` stands for the items of a list."""
     if isinstance(kind, T.ArrayType):
@@ -93,15 +107,19 @@ def _after(prefix: Column):
     return lambda x: F.concat(prefix, x)
 
 
+def _dollar(path: str) -> str:
+    """A field path as a JSON path; of a list its first item."""
+    return "$" + (f".{path}" if path else "").replace("[]", "[0]")
+
+
 def json_paths(record: Column) -> Column:
-    """Field paths of a JSON record, two levels deep: its keys, and the keys of the first item of each list."""
-    keys = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
-    lists = sorted({m.fields[0] for m in MAPPINGS if m.kind == "list"})
-    nested = []
-    for k in lists:
-        inner, prefix = F.json_object_keys(F.get_json_object(record, f"$.{k}[0]")), F.lit(f"{k}[].")
-        nested.append(F.transform(F.coalesce(inner, F.array().cast("array<string>")), _after(prefix)))
-    return F.concat(keys, *nested)
+    """The field paths of a JSON record that some mapping names, at any depth; of a list those of its first item."""
+    found = []
+    for parent in sorted({_split(p)[0] for p in NAMED}):
+        at = record if not parent else F.get_json_object(record, _dollar(parent))
+        keys = F.coalesce(F.json_object_keys(at), F.array().cast("array<string>"))
+        found.append(F.transform(keys, _after(F.lit(f"{parent}." if parent else ""))))
+    return F.filter(F.concat(*found), lambda p: p.isin(*sorted(NAMED)))
 
 
 def _turn(role: Column, text: Column) -> Column:
@@ -118,8 +136,8 @@ def _renamed(m: Mapping, role: Column) -> Column:
 def _record_turns(m: Mapping, record: Column) -> Column:
     if m.kind == "list":
         name, role, text = m.fields
-        items = F.from_json(F.get_json_object(record, f"$.{name}"), f"array<struct<`{role}`:string,`{text}`:string>>")
-        return F.transform(items, lambda x: _turn(_renamed(m, x[role]), x[text]))
+        items = F.from_json(F.get_json_object(record, _dollar(name)), "array<string>")
+        return F.transform(items, lambda x: _turn(_renamed(m, F.get_json_object(x, _dollar(role))), F.get_json_object(x, _dollar(text))))
     value = lambda names: F.array_join(F.filter(F.array(*(F.get_json_object(record, f"$.{n}") for n in names)), lambda x: x.isNotNull() & (x != "")), "\n\n")
     return F.array(*(_turn(F.lit(role), value(names)) for role, names in m.fields))
 
@@ -140,17 +158,14 @@ def rows_to_turns(df: DataFrame) -> DataFrame:
 
     One shuffle by conversation; a conversation's rows meet in its output row.
     """
-    for m in MAPPINGS:
-        if m.kind == "rows" and set(m.fields) <= set(df.columns):
-            part = df.select(*m.fields)
-            if fingerprint(paths(part.schema)) != fingerprint(m.paths):
-                continue
-            key, order, role, text = m.fields
-            turn = F.struct(F.col(order).alias("at"), _renamed(m, F.coalesce(F.col(role), F.lit(""))).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-            rows = part.select(F.col(key).alias("conv_id"), turn.alias("turn"))
-            grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
-            return grouped.withColumn("turns", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))))
-    raise ValueError(f"no mapping for the field paths {paths(df.schema)}")
+    layouts = {fingerprint(m.paths): m for m in MAPPINGS if m.kind == "rows"}
+    m = layouts.get(fingerprint([p for p in paths(df.schema) if p in NAMED]))
+    if m is None:
+        raise ValueError(f"no mapping for the field paths {paths(df.schema)}")
+    key, order, role, text = m.fields
+    turn = F.struct(F.col(order).alias("at"), _renamed(m, F.coalesce(F.col(role), F.lit(""))).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    grouped = df.select(F.col(key).alias("conv_id"), turn.alias("turn")).groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
+    return grouped.withColumn("turns", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))))
 
 
 # Template --------------------------------------------------------------------------------------
@@ -218,9 +233,11 @@ _PROBE = r"\### Assistant: </turn> ok"
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and the probe -7, formatted, then read back from the output."""
-    table = ship(spark).read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    probe = spark.range(2).select(F.lit(-7).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise(ASSISTANT).alias("role"), F.lit(_PROBE).alias("text"))
-    done = format_turns(rows_to_turns(table.unionByName(probe)))
+    table = ship(spark).read.parquet(f"{sf_dir}/conversations.parquet")
+    # The probe comes as a record of another layout.
+    said = F.array(*(F.struct(F.lit(r).alias("role"), F.lit(_PROBE).alias("content")) for r in ("user", ASSISTANT)))
+    probe = spark.range(1).select(F.lit(-7).cast("long").alias("id"), F.to_json(F.struct(said.alias("messages"), F.lit("probe").alias("origin"))).alias("record"))
+    done = format_turns(rows_to_turns(table).unionByName(records_to_turns(probe, "record", "id").drop("layout")))
     back = done.select("conv_id", parse(F.col("formatted")).alias("turns"), F.array_join(masked(F.col("formatted"), F.col("loss")), "").alias("learned"), F.length("formatted").alias("formatted_chars"))
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(

@@ -1,5 +1,6 @@
 """Personal data, chat formatting, mixing and the pipeline."""
 
+import hashlib
 import random
 import re
 
@@ -69,6 +70,21 @@ def test_chat_round_trip(spark):
     assert chat.format_turns(chat.rows_to_turns(df.where("false"))).count() == 0
     with pytest.raises(ValueError):
         chat.rows_to_turns(spark.createDataFrame([(1, "x")], "id long, body string"))
+    with pytest.raises(ValueError):
+        chat.rows_to_turns(df.withColumn("prompt", F.lit("of two layouts")))
+    # Other columns, nested ones too, do not matter.
+    more = df.selectExpr("*", "1 AS source", "named_struct('role', 'x', 'text', array(1)) AS meta")
+    assert sorted(map(str, chat.rows_to_turns(more).collect())) == sorted(map(str, chat.rows_to_turns(df).collect()))
+
+
+def test_chat_query_reads_rows_and_records(spark):
+    from pinglake.llm.queries import QUERIES
+
+    got = {r.conv_id: r for r in QUERIES["op4_chat_formatting"](spark, "/root/testdata/sf0.001").collect()}
+    text = "\\### Assistant: </turn> ok"
+    assert (got[-7].n_turns, got[-7].loss_chars) == (2, len(text))
+    assert got[-7].turns_sha256 == hashlib.sha256(f"user\n{text}\nassistant\n{text}\n".encode()).hexdigest()
+    assert len(got) == 1 + spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").select("conv_id").distinct().count()
 
 
 def test_layouts_of_records(spark):
@@ -78,6 +94,11 @@ def test_layouts_of_records(spark):
         '{"response":"r","prompt":"p"}': [("user", "p"), ("assistant", "r")],
         '{"instruction":"i","input":"n","output":"o"}': [("user", "i\n\nn"), ("assistant", "o")],
         '{"system":"s","question":"q","answer":"a"}': [("system", "s"), ("user", "q"), ("assistant", "a")],
+        '{"id":7,"meta":{"source":"web","messages":[1]},"messages":[{"role":"user","content":"a","weight":0.5},{"role":"bot","content":"7"}]}': [("user", "a"), ("assistant", "7")],
+        '{"request":{"id":1,"messages":[{"author":{"role":"human","name":"x"},"content":{"text":"deep","kind":"t"}},{"author":{"role":"gpt"},"content":{"text":"down"}}]},"source":"s"}': [("user", "deep"), ("assistant", "down")],
+        '{"prompt":"p","source":"s","completion":"c","tags":["messages"]}': [("user", "p"), ("assistant", "c")],
+        '{"prompt":"p","response":"r","answer":"of two layouts"}': None,
+        '{"messages":[]}': None,
         '{"other":1}': None,
         "no json": None,
         None: None,
