@@ -61,8 +61,17 @@ def plain_alignment(texts):
         links = [(ends[0][e], ends[1][e]) for e in both]
         count.update(links)
         groups = []
-        for s, e in zip([0, *both], both):
-            groups.append("|".join(",".join(str(i) for p, i in side.items() if s < p <= e) for side in ends))
+        rest = [iter(side.items()) for side in ends]
+        for e in both:
+            group = []
+            for side in rest:
+                ids = []
+                for p, i in side:
+                    ids.append(str(i))
+                    if p == e:
+                        break
+                group.append(",".join(ids))
+            groups.append("|".join(group))
         out.append((len(a), len(b), links, hashlib.sha256(";".join(groups).encode()).hexdigest()))
     best = defaultdict(int)
     for (a, b), n in count.items():
