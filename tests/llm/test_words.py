@@ -84,7 +84,12 @@ def test_bpe_equals_the_library(spark):
     assert sorted(r.text for r in back) == ["", "the</w> cat</w>"]
 
 
-def test_language_model(spark):
+@pytest.mark.parametrize("parts", [False, True])
+def test_language_model(spark, monkeypatch, parts):
+    if parts:
+        # Many slices, each counted in parts.
+        monkeypatch.setattr(lm, "SLICE_WORDS", 10)
+        monkeypatch.setattr(lm, "PART_BATCHES", 1)
     rng = np.random.default_rng(2)
     # The second word of a pair follows from the first, which counts alone cannot tell.
     pairs = [f"w{i}ab w{i}{'xy' if i % 2 else 'zq'}" for i in range(20)]
@@ -110,11 +115,17 @@ def test_language_model(spark):
 
 
 def test_language_model_is_normalised():
-    m = lm.Model(np.arange(lm.CLASSES) * 3.0, np.arange(lm.CLASSES) * 1.0)
+    cells = np.arange(lm.CLASSES * lm.GROUPS).reshape(lm.CLASSES, lm.GROUPS)
+    m = lm.Model(cells * 3.0, cells * 1.0)
     rng = np.random.default_rng(0)
-    weights = rng.normal(size=m.weights.shape).astype(np.float32)
-    z = np.exp(lm.log_softmax(m.bias, weights, rng.integers(0, lm.ROWS, (5, lm.FEATURES))))
-    assert np.allclose(z.sum(axis=1), 1, atol=1e-5)
+    classes = np.array([0, 3, 3, 7, 1])
+    for bias, w in zip((m.bias[0], m.bias[1][classes]), m.weights):
+        weights = rng.normal(size=w.shape).astype(np.float32)
+        z = np.exp(lm.log_softmax(bias, weights, rng.integers(0, lm.ROWS, (lm.FEATURES, 5))))
+        assert np.allclose(z.sum(axis=1), 1, atol=1e-5)
+    # Words of a group and its place for unseen ones share all of it.
+    counts = np.array([5, 1, 9])
+    assert np.isclose((np.r_[counts, 0] + 1).sum() / (counts.sum() + len(counts) + 1), 1)
     assert lm.class_of(lm.END) == 0 and all(1 <= lm.class_of(w) < lm.CLASSES for w in ("a", "tion", "é"))
 
 
