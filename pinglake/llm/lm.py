@@ -299,6 +299,19 @@ def log_softmax(bias: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> np.n
     return z
 
 
+def run_sums(x: np.ndarray, first: np.ndarray, size: np.ndarray, short: int = 8) -> np.ndarray:
+    """Sums of neighbouring rows, ``size`` of them from ``first`` on: the second rows of all short runs together, then the third; long runs alone."""
+    out = x[first]
+    for k in range(1, short):
+        at = np.flatnonzero((size > k) & (size <= short))
+        if not len(at):
+            break
+        out[at] += x[first[at] + k]
+    for i in np.flatnonzero(size > short):
+        out[i] = x[first[i] : first[i] + size[i]].sum(axis=0)
+    return out
+
+
 class Trainer:
     """Adaptive gradient steps on one task's texts, for one layer."""
 
@@ -315,11 +328,13 @@ class Trainer:
         order = np.argsort(flat, kind="stable")
         s = flat[order]
         first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-        total = np.add.reduceat(g[order % n], first, axis=0)
+        size = np.diff(np.r_[first, len(s)])
+        total = run_sums(g[order % n], first, size)
         at = s[first]
         self.seen[at] += np.einsum("ij,ij->i", total, total)
-        self.touched[at] += np.diff(np.r_[first, len(s)])
-        self.weights[at] -= RATE * total / np.sqrt(self.seen[at])[:, None]
+        self.touched[at] += size
+        total *= (RATE / np.sqrt(self.seen[at]))[:, None]
+        self.weights[at] -= total
 
 
 def _columns(b: pa.RecordBatch, i: int) -> tuple:

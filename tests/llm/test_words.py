@@ -114,6 +114,15 @@ def test_language_model(spark, monkeypatch, parts):
     assert lm.score(df.where("false")).count() == 0
 
 
+def test_sums_of_runs():
+    rng = np.random.default_rng(5)
+    size = np.r_[1, 9, 40, rng.integers(1, 12, 50)]
+    first = np.cumsum(size) - size
+    x = rng.integers(-50, 50, (int(size.sum()), 3)).astype(np.float32)
+    want = [x[a : a + n].sum(axis=0) for a, n in zip(first, size)]
+    assert np.array_equal(lm.run_sums(x, first, size), want)
+
+
 def test_language_model_is_normalised():
     cells = np.arange(lm.CLASSES * lm.GROUPS).reshape(lm.CLASSES, lm.GROUPS)
     m = lm.Model(cells * 3.0, cells * 1.0)
