@@ -100,7 +100,7 @@ def test_components_of_paths_and_stars(spark):
     assert all(got[i] == 0 for i in range(1, 61)) and all(got[i] == 100 for i in range(101, 160)) and got[300] == 299 and 200 not in got
 
 
-def test_next_document_and_search(spark):
+def test_next_document_and_search(spark, monkeypatch):
     rng = np.random.default_rng(5)
     texts = [*ODD, *near_texts(60, 5)[len(ODD) :]]
     df = docs(spark, texts, False).where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).select("doc_id", "text")
@@ -110,13 +110,23 @@ def test_next_document_and_search(spark):
     prints = [r.p for r in fingerprints.fingerprints(df, {"text": "p"}, ["doc_id"]).orderBy("doc_id").collect()]
     assert prints[0] == prints[1] == bytes(16)
     many = [bytes(rng.integers(0, 256, 16, np.uint8)) for _ in range(40)]
-    many += [bytes(x ^ (1 << int(rng.integers(8))) if rng.random() < 0.15 else x for x in p) for p in many for _ in range(4)]
+    # From 0 to 40 bits away, some just within the radius and some just beyond.
+    def moved(p, k):
+        x = int.from_bytes(p, "big")
+        for i in rng.choice(128, k, replace=False):
+            x ^= 1 << int(i)
+        return x.to_bytes(16, "big")
+
+    many += [moved(p, k) for p in many for k in (1, 5, 12, 16, 17, 18, 19, 40)]
     weight = {p: 1 + i % 3 for i, p in enumerate(dict.fromkeys(many))}
     there = spark.createDataFrame(list(weight.items()), "print binary, weight long")
     asked = spark.createDataFrame([(p,) for p in many[:60]], "print binary")
     bits = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(a, b))
-    found = {bytes(r.print): r.n for r in fingerprints.within(asked, there).collect()}
-    assert found == {p: sum(w for q, w in weight.items() if bits(p, q) <= fingerprints.RADIUS) for p in many[:60]}
+    want = lambda d: {p: sum(w for q, w in weight.items() if bits(p, q) <= d) for p in many[:60]}
+    found = lambda *a: {bytes(r.print): r.n for r in fingerprints.within(asked, there, *a).collect()}
+    assert found() == want(fingerprints.RADIUS) and found(3, 4) == want(3)
+    monkeypatch.setattr(fingerprints, "CHUNK", 2)  # every key with three fingerprints is split
+    assert found() == want(fingerprints.RADIUS)
     likes = spark.createDataFrame([(many[0], many[45])], "a binary, b binary").select(fingerprints.likeness(F.col("a"), F.col("b")).alias("x")).first()["x"]
     assert abs(likes - (1 - bits(many[0], many[45]) / 128)) < 1e-12
 
