@@ -35,11 +35,12 @@ from .common import Rolling, documents, map_batches, mix64, text_bytes, word_spa
 BITS = 128
 # Near copies (five-word similarity of 0.8 or more) lie 5 to 21 bits apart, half of them within 11.
 RADIUS = 17
-BLOCKS = 6
+# Of 14 or 15 bits; longer ones are emptier, but a query looks into more of them.
+BLOCKS = 9
 PAIR_WEIGHT = 4
 LONGEST = 12  # bytes beyond which a term weighs no more
 # Fingerprints of a key that one slice holds on average.
-CHUNK = 2048
+CHUNK = 1 << 16
 
 
 def prints_of(data: np.ndarray, offsets: np.ndarray, rolling: Rolling) -> list[bytes]:
@@ -108,17 +109,23 @@ def _halves(print_: Column) -> list[Column]:
     return [F.conv(F.hex(F.substring(print_, 8 * i + 1, 8)), 16, -10).cast("long") for i in range(BITS // 64)]
 
 
-def _cuts(blocks: int) -> list[tuple[int, int, int]]:
-    """(half, shift, bits) of each block; blocks do not cross from one half to the other."""
-    if blocks < 2 or blocks % 2 or blocks > 64:
-        raise ValueError("blocks must be an even number from 2 to 64")
-    edges = np.linspace(0, 64, blocks // 2 + 1).astype(int).tolist()
-    return [(h, lo, hi - lo) for h in range(2) for lo, hi in zip(edges, edges[1:])]
+def _cuts(blocks: int) -> list[tuple[int, int]]:
+    """(shift, bits) of each block, from the low end."""
+    if not 2 < blocks <= BITS:
+        raise ValueError(f"blocks must be from 3 to {BITS}")
+    edges = np.linspace(0, BITS, blocks + 1).astype(int).tolist()
+    return [(lo, hi - lo) for lo, hi in zip(edges, edges[1:])]
 
 
-def _block(halves: list, cut_: tuple[int, int, int]) -> Column:
-    h, shift, bits = cut_
-    return F.shiftrightunsigned(halves[h], shift).bitwiseAND(F.lit((1 << bits) - 1 if bits < 64 else -1).cast("long"))
+def _block(hi: Column, lo: Column, cut_: tuple[int, int]) -> Column:
+    shift, bits = cut_
+    if shift >= 64:
+        part = F.shiftrightunsigned(hi, shift - 64)
+    else:
+        part = F.shiftrightunsigned(lo, shift)
+        if shift + bits > 64:
+            part = part.bitwiseOR(F.shiftleft(hi, 64 - shift))
+    return part.bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
 
 
 def _flips(bits: int, most: int) -> list[int]:
@@ -130,14 +137,14 @@ def within(queries: DataFrame, everything: DataFrame, radius: int = RADIUS, bloc
     """Rows (print, n): for each distinct query fingerprint, how many of ``everything``'s weights lie within ``radius`` bits.
 
     ``queries`` has (print), ``everything`` distinct (print, weight). A query makes a row for each
-    block and each mask of at most radius / blocks bits (1,436 at 17 bits and six blocks, for one
-    row in fifty), each other fingerprint one per block. A pair that meets in several tables counts
-    in the first of them.
+    block and each mask of at most radius / blocks bits (137 at 17 bits and nine blocks, for one
+    row in fifty), each fingerprint of ``everything`` one per block. A pair that meets in several
+    tables counts in the first of them.
     """
     cuts = _cuts(blocks)
     most = radius // blocks
     split = lambda df: df.withColumns(dict(zip(("hi", "lo"), _halves(F.col("print")))))
-    own = lambda t, c: F.struct(F.lit(t).alias("t"), _block([F.col("hi"), F.col("lo")], c).alias("k"))
+    own = lambda t, c: F.struct(F.lit(t).alias("t"), _block(F.col("hi"), F.col("lo"), c).alias("k"))
     there = split(everything).withColumn("b", F.explode(F.array(*(own(t, c) for t, c in enumerate(cuts)))))
     there = there.select("b.t", "b.k", "hi", "lo", "weight")
     # Keys with more fingerprints than a slice holds, few and known by count: theirs are dealt to
@@ -146,17 +153,18 @@ def within(queries: DataFrame, everything: DataFrame, radius: int = RADIUS, bloc
     hot = cut(hot, "hot-keys")
     there = there.join(hot, ["t", "k"], "left").withColumn("slice", F.coalesce(F.pmod(F.xxhash64("hi", "lo"), F.col("slices")).cast("int"), F.lit(0))).drop("slices")
 
-    def asks(t: int, c: tuple[int, int, int]) -> Column:
-        masks = F.lit(_flips(c[2], most)).cast("array<bigint>")
-        return F.transform(masks, lambda m: F.struct(F.lit(t).alias("t"), _block([F.col("hi"), F.col("lo")], c).bitwiseXOR(m).alias("k")))
+    def asks(t: int, c: tuple[int, int]) -> Column:
+        masks = F.lit(_flips(c[1], most)).cast("array<bigint>")
+        return F.transform(masks, lambda m: F.struct(F.lit(t).alias("t"), _block(F.col("hi"), F.col("lo"), c).bitwiseXOR(m).alias("k")))
 
     q = split(queries.distinct()).withColumn("b", F.explode(F.concat(*(asks(t, c) for t, c in enumerate(cuts))))).select("b.t", "b.k", F.col("hi").alias("qh"), F.col("lo").alias("ql"))
     q = q.join(hot, ["t", "k"], "left").withColumn("slice", F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1))).drop("slices")
     apart = [F.col("hi").bitwiseXOR(F.col("qh")), F.col("lo").bitwiseXOR(F.col("ql"))]
     near = F.bit_count(apart[0]) + F.bit_count(apart[1]) <= radius
     # Met in an earlier table: a block before this one is as close, too.
-    earlier = [(F.col("t") > t) & (F.bit_count(_block(apart, c)) <= most) for t, c in enumerate(cuts[:-1])]
-    met = q.join(there, ["t", "k", "slice"]).where(near & ~reduce(lambda x, y: x | y, earlier))
+    earlier = [(F.col("t") > t) & (F.bit_count(_block(*apart, c)) <= most) for t, c in enumerate(cuts[:-1])]
+    # Spark sizes exploded rows by what they came from and would broadcast them.
+    met = q.hint("merge").join(there, ["t", "k", "slice"]).where(near & ~reduce(lambda x, y: x | y, earlier))
     found = met.groupBy("qh", "ql").agg(F.sum("weight").alias("n"))
     whole = F.unhex(F.concat(*(F.lpad(F.hex(c), 16, "0") for c in ("qh", "ql"))))
     return found.select(whole.alias("print"), "n")
