@@ -112,10 +112,49 @@ def _(t):
     return d.select(*PK, F.posexplode("mask_patches").alias("j", "patch"))
 
 
-@query("u1_score_segments")
+# Normalised, turned downwards, cut at gaps and after 1,280 pings with 32 pings of context, holes
+# filled within each part (the rule of w22_fill_holes), then halved to 32 cells.
+_SCORED = """,
+sc AS (SELECT transect_id, avg(v) AS c, stddev_pop(v) AS s FROM samp GROUP BY 1),
+nm AS (SELECT transect_id, ping_index, CASE WHEN is_upfacing THEN 63 - j ELSE j END AS j, (v - c) / s AS v FROM samp JOIN sc USING (transect_id)),
+steps AS (SELECT transect_id, ping_index, ts_s - lag(ts_s) OVER (PARTITION BY transect_id ORDER BY ping_index) AS dt FROM echo),
+base AS (SELECT transect_id, quantile_cont(dt, 0.975) AS q FROM steps GROUP BY 1),
+seg AS (SELECT t.transect_id, ping_index, sum(CASE WHEN dt > q * 20 THEN 1 ELSE 0 END) OVER (PARTITION BY t.transect_id ORDER BY ping_index) AS segment_id FROM steps t JOIN base USING (transect_id)),
+sb AS (SELECT transect_id, segment_id, min(ping_index) AS a, max(ping_index) + 1 AS z FROM seg GROUP BY 1, 2),
+sn AS (SELECT *, unnest(range(0, n)) AS i FROM (SELECT *, CAST(ceil((z - a) / 1280.0::DOUBLE) AS BIGINT) AS n FROM sb)),
+pb AS (SELECT transect_id, i, n, CAST(round_even(a + (z - a) * i / n::DOUBLE, 0) AS BIGINT) AS a, CAST(round_even(a + (z - a) * (i + 1) / n::DOUBLE, 0) AS BIGINT) AS z FROM sn),
+pt AS (SELECT *, row_number() OVER (PARTITION BY transect_id ORDER BY a) AS part, max(z) OVER (PARTITION BY transect_id) AS total FROM pb),
+pw AS (SELECT *, CASE WHEN i > 0 THEN greatest(0, a - 32) ELSE a END AS i0, CASE WHEN i < n - 1 THEN least(total, z + 32) ELSE z END - 1 AS i1 FROM pt),
+h AS (SELECT nm.transect_id, part, a, z, i0, i1, ping_index AS k, j, v, v IS NULL AS na FROM nm JOIN pw ON pw.transect_id = nm.transect_id AND ping_index BETWEEN i0 AND i1),
+bp AS (SELECT transect_id, part, k, count(*) AS c FROM h WHERE na AND k > i0 AND k < i1 GROUP BY ALL),
+bd AS (SELECT transect_id, part, j, count(*) AS c FROM h WHERE na AND k > i0 AND k < i1 GROUP BY ALL),
+ex AS (SELECT transect_id, part, min(CASE WHEN c >= 2 THEN k END) AS xm, max(CASE WHEN c >= 2 THEN k END) AS xn, min(k) AS xa, max(k) AS xb FROM bp GROUP BY ALL),
+ey AS (SELECT transect_id, part, min(CASE WHEN c >= 2 THEN j END) AS ym, max(CASE WHEN c >= 2 THEN j END) AS yn, min(j) AS ya, max(j) AS yb FROM bd GROUP BY ALL),
+bx AS (SELECT transect_id, part, k, j, v FROM h JOIN ex USING (transect_id, part) JOIN ey USING (transect_id, part)
+       WHERE (xm IS NOT NULL OR ym IS NOT NULL) AND k BETWEEN greatest(i0, coalesce(xm, xa) - 4) AND least(i1, coalesce(xn, xb) + 4)
+         AND j BETWEEN greatest(0, coalesce(ym, ya) - 3) AND least(63, coalesce(yn, yb) + 5)),
+nb AS (SELECT *, max(CASE WHEN v IS NOT NULL THEN k END) OVER (t ROWS UNBOUNDED PRECEDING) AS ka, min(CASE WHEN v IS NOT NULL THEN k END) OVER (t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS kb,
+              max(CASE WHEN v IS NOT NULL THEN j END) OVER (d ROWS UNBOUNDED PRECEDING) AS ja, min(CASE WHEN v IS NOT NULL THEN j END) OVER (d ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS jb
+       FROM bx WINDOW t AS (PARTITION BY transect_id, part, j ORDER BY k), d AS (PARTITION BY transect_id, part, k ORDER BY j)),
+fl AS (SELECT n.transect_id, n.part, n.k, n.j, p.v + (q.v - p.v) * (n.k - ka) / (kb - ka) AS ft, r.v + (u.v - r.v) * (n.j - ja) / (jb - ja) AS fd FROM nb n
+       LEFT JOIN bx p ON (p.transect_id, p.part, p.k, p.j) = (n.transect_id, n.part, ka, n.j) LEFT JOIN bx q ON (q.transect_id, q.part, q.k, q.j) = (n.transect_id, n.part, kb, n.j)
+       LEFT JOIN bx r ON (r.transect_id, r.part, r.k, r.j) = (n.transect_id, n.part, n.k, ja) LEFT JOIN bx u ON (u.transect_id, u.part, u.k, u.j) = (n.transect_id, n.part, n.k, jb) WHERE n.v IS NULL),
+full_ AS (SELECT transect_id, k, j, coalesce(v, CASE WHEN ft IS NOT NULL AND fd IS NOT NULL THEN (ft + fd) / 2 ELSE coalesce(ft, fd) END, 0) AS v
+          FROM h LEFT JOIN fl USING (transect_id, part, k, j) WHERE k >= a AND k < z),
+half AS (SELECT transect_id, k AS ping_index, j // 2 AS j, avg(v) AS v FROM full_ GROUP BY ALL)"""
+
+
+@query("u1_score_segments", "samp", _SCORED + """,
+s AS (SELECT transect_id, ping_index, sum(v) AS total, sum(v * (j + 1)) AS moment FROM half GROUP BY 1, 2)
+SELECT transect_id, ping_index, is_upfacing, 0.5::DOUBLE AS depth_step, round(total, 5) AS total_0, round(total * 0.75, 5) AS total_5, round(moment, 4) AS moment_0, round(moment * 0.75, 4) AS moment_5
+FROM s JOIN echo USING (transect_id, ping_index)""")
 def _(t):
     d = scoring.score(t.echo, _stand_in_model, {"logits": "array<array<double>>"}, height=32)
-    return d.select(*PK, "is_upfacing", F.round("depth_step", 6).alias("depth_step"), *[F.round(A.array_sum(F.get("logits", F.lit(c))), 5).alias(f"total_{c}") for c in (0, 5)])
+    row = lambda c: F.get("logits", F.lit(c))
+    totals = [F.round(A.array_sum(row(c)), 5).alias(f"total_{c}") for c in (0, 5)]
+    # Weighted by depth, so that the order of the cells shows.
+    moments = [F.round(A.array_sum(F.transform(row(c), lambda x, j: x * (j + 1))), 4).alias(f"moment_{c}") for c in (0, 5)]
+    return d.select(*PK, "is_upfacing", F.round("depth_step", 6).alias("depth_step"), *totals, *moments)
 
 
 @query("u9_lines")
