@@ -1,8 +1,8 @@
 """Quality classifier by positive-unlabelled learning.
 
-Labels of trusted good texts are the positives; every other text, labelled or not, is unlabelled
-and holds an unknown mix whose share of positives is the class prior. A small network minimises
-the non-negative unbiased risk
+Labels of trusted good texts are the positives; the unlabelled texts are drawn from all texts, their
+labels unread, and are a mix whose share of positives is the class prior. A small network
+minimises the non-negative unbiased risk
 
     prior * E_pos[loss(f, +)] + max(0, E_unl[loss(f, -)] - prior * E_pos[loss(f, -)])
 
@@ -10,14 +10,16 @@ where, when the second term would turn negative, a step is taken against it inst
 be driven below zero by fitting the positives too closely. Inputs are figures of the text alone:
 kinds of characters, words, repetition.
 
-The prior is estimated as the share of good texts among the labelled ones outside the held-out
-fold. Fitting uses at most ``SAMPLE`` positives and ``SAMPLE`` unlabelled texts, drawn by hash; all
+The prior is estimated from positives and unlabelled texts alone: a first network ranks them, and as
+the unlabelled texts above any score hold at least the prior's share of the positives above it, the
+lowest ratio of both tails bounds the prior (by its upper confidence limit, on texts that the first
+network did not see). Negative labels are never read. Fitting uses at most ``SAMPLE`` positives and ``SAMPLE`` unlabelled texts, drawn by hash; all
 texts are measured and scored.
 
 Defined cases: null and empty texts are scored like any other by their (zero) figures; repeated
 rows get equal scores; a label table with repeated ids counts each row; without any positive outside the
-held-out fold every score is the estimated prior (one half without any label); an empty table gives
-an empty table; other columns are not read.
+held-out fold every score is zero (one half without any label); an empty table gives an empty
+table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ from .quality_rules import COVERAGE, _later, statistics
 FOLDS, HELD_OUT = 3, 1
 # Most positives, and most unlabelled texts, that a fit reads.
 SAMPLE = 20_000
+# Share of the positives that a tail has at least when the prior is estimated.
+TAIL = 0.05
 HIDDEN = 24
 STEPS = 1500
 BATCH = 2048
@@ -149,10 +153,39 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Network:
     return net
 
 
-def _sample(df: DataFrame) -> np.ndarray:
-    """At most SAMPLE rows' figures, those with the smallest hashes."""
-    rows = df.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(SAMPLE).select("x").collect()
-    return np.array([r["x"] for r in rows], float)
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Share of positives among ``unlabelled``: the lowest ratio of score tails, unlabelled to positive.
+
+    Of each sample every other row fits the ranking and the rest is compared. Both tails are taken
+    a standard error apart, and only where TAIL of the positives lie above, so that thin tails do
+    not give low ratios by chance.
+    """
+    ranked = fit(positive[::2], unlabelled[::2], 0.5)
+    p, u = (np.sort(ranked.score(x[1::2] if len(x) > 1 else x)) for x in (positive, unlabelled))
+    at = np.unique(p[: max(1, int(len(p) * (1 - TAIL)))])
+    tail = lambda x: 1 - np.searchsorted(x, at) / len(x)
+    error = lambda share, x: np.sqrt(share * (1 - share) / len(x))
+    tp, tu = tail(p), tail(u)
+    least = np.maximum(tp - error(tp, p), 1e-9)
+    return float(np.clip(((tu + error(tu, u)) / least).min(), 0.01, 0.99))
+
+
+def _sample(df: DataFrame, size: int | None = None) -> np.ndarray:
+    """At most ``size`` (SAMPLE) rows' figures, those with the smallest hashes.
+
+    A bound on the hash leaves few more than those, so no task sorts or sends more than its
+    part of them; it grows until enough rows lie below it.
+    """
+    size = SAMPLE if size is None else size
+    rows = df.withColumn("h", F.xxhash64("doc_id", F.lit(SEED)))
+    share = min(1.0, (size + 6 * size**0.5 + 6) / max(rows.count(), 1))
+    while True:
+        low = rows if share >= 1 else rows.where(F.col("h") < int(-(2**63) + share * 2**64))
+        if share >= 1 or low.count() >= size:
+            break
+        share = min(1.0, share * 2)
+    got = low.orderBy("h", "doc_id").limit(size).select("x").collect()
+    return np.array([r["x"] for r in got], float)
 
 
 def classify(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -160,19 +193,18 @@ def classify(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "d
     x = cut(measure(df, text, key), "figures")
     open_ = fold("doc_id", FOLDS) != HELD_OUT
     known = labels.select(F.col(key).cast("long").alias("doc_id"), "quality").where(open_ & F.col("quality").isNotNull())
-    share = known.agg(F.avg((F.col("quality") == 1).cast("double")).alias("p")).first()["p"]
-    prior = 0.5 if share is None else float(share)
     learn = x.where(open_)
     positive = _sample(learn.join(known.where("quality = 1").select("doc_id"), "doc_id", "left_semi"))
     unlabelled = _sample(learn)
-    net = fit(positive, unlabelled, min(max(prior, 0.01), 0.99)) if len(positive) and len(unlabelled) else None
+    net = fit(positive, unlabelled, class_prior(positive, unlabelled)) if len(positive) else None
+    default = 0.5 if known.isEmpty() else 0.0
 
     def run(batches):
         for b in batches:
             lists = b.column(1)
             n = b.num_rows
             v = lists.flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(float) if n else np.zeros((0, 1))
-            s = net.score(v) if net is not None else np.full(n, prior)
+            s = net.score(v) if net is not None else np.full(n, default)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], names=["doc_id", "score"])
 
     scored = x.mapInArrow(run, "doc_id long, score double")

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pinglake.llm import bpe, common, lm, quality_pu, quality_rules
 
@@ -155,3 +156,23 @@ def test_classifier(spark):
     none = quality_pu.classify(docs(spark), labels.where("false")).collect()
     assert {r.score for r in none} == {0.5}
     assert quality_pu.classify(df.where("false"), labels).count() == 0
+
+
+def test_prior_from_positives_and_unlabelled_alone():
+    rng = np.random.default_rng(8)
+    good, bad = (lambda n: rng.normal(1.0, 1.0, (n, 3))), (lambda n: rng.normal(-1.5, 1.0, (n, 3)))
+    for share in (0.2, 0.5, 0.85):
+        n = int(4000 * share)
+        mixed = rng.permutation(np.concatenate([good(n), bad(4000 - n)]))
+        assert abs(quality_pu.class_prior(good(3000), mixed) - share) < 0.06
+    assert 0.01 <= quality_pu.class_prior(good(1), bad(1)) <= 0.99
+
+
+def test_sample_is_the_smallest_hashes(spark):
+    df = spark.range(900).selectExpr("id AS doc_id", "array(cast(id AS double)) AS x")
+    want = [r.doc_id for r in df.orderBy(F.xxhash64("doc_id", F.lit(quality_pu.SEED)), "doc_id").collect()]
+    for size in (1, 40, 899, 900, 2000):
+        assert quality_pu._sample(df, size)[:, 0].tolist() == want[:size]
+    assert len(quality_pu._sample(df.where("false"), 5)) == 0
+    # All rows under one id share a hash.
+    assert len(quality_pu._sample(df.withColumn("doc_id", F.lit(7)), 40)) == 40
