@@ -12,8 +12,7 @@ kinds of characters, words, repetition.
 
 The prior is estimated from positives and unlabelled texts alone: a first network ranks them, and as
 the unlabelled texts above any score hold at least the prior's share of the positives above it, the
-lowest ratio of both tails bounds the prior (by its upper confidence limit, on texts that the first
-network did not see). Negative labels are never read. Fitting uses at most ``SAMPLE`` positives and ``SAMPLE`` unlabelled texts, drawn by hash; all
+lowest ratio of both tails bounds the prior (on texts that the first network did not see). Negative labels are never read. Fitting uses at most ``SAMPLE`` positives and ``SAMPLE`` unlabelled texts, drawn by hash; all
 texts are measured and scored.
 
 Defined cases: null and empty texts are scored like any other by their (zero) figures; repeated
@@ -156,9 +155,10 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Network:
 def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     """Share of positives among ``unlabelled``: the lowest ratio of score tails, unlabelled to positive.
 
-    Of each sample every other row fits the ranking and the rest is compared. Both tails are taken
-    a standard error apart, and only where TAIL of the positives lie above, so that thin tails do
-    not give low ratios by chance.
+    Of each sample every other row fits the ranking and the rest is compared. The tail is chosen by
+    the upper limit of its ratio (both shares a standard error apart), and only where TAIL of the
+    positives lie above, so that thin tails do not give low ratios by chance; its plain ratio is
+    the estimate.
     """
     ranked = fit(positive[::2], unlabelled[::2], 0.5)
     p, u = (np.sort(ranked.score(x[1::2] if len(x) > 1 else x)) for x in (positive, unlabelled))
@@ -167,7 +167,8 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     error = lambda share, x: np.sqrt(share * (1 - share) / len(x))
     tp, tu = tail(p), tail(u)
     least = np.maximum(tp - error(tp, p), 1e-9)
-    return float(np.clip(((tu + error(tu, u)) / least).min(), 0.01, 0.99))
+    best = ((tu + error(tu, u)) / least).argmin()
+    return float(np.clip(tu[best] / tp[best], 0.01, 0.99))
 
 
 def _sample(df: DataFrame, size: int | None = None) -> np.ndarray:
