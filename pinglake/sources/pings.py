@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -36,21 +36,40 @@ def read_text(spark: SparkSession, path, recursive: bool = True, pattern: str |
     return r.text(path).select("value", F.col("_metadata.file_path").alias("file"))
 
 
-def parse_pings(rows: DataFrame) -> DataFrame:
+def text_of(file="file") -> Column:
+    """The text that a file belongs to: the part files that one job wrote into a folder are one text, other files one each."""
+    return F.regexp_replace(file, r"/part-\d+-(\p{XDigit}{8}(?:-\p{XDigit}{4}){3}-\p{XDigit}{12})[.-]c\d+[^/]*$", "/part-*-$1*")
+
+
+def _split(rows: DataFrame) -> DataFrame:
+    line = F.regexp_replace("value", f"^{BOM}", "")
+    cells = F.transform(F.split(line, ","), lambda x: F.trim(x))
+    return rows.where(F.is_valid_utf8("value")).select("file", "value", cells.alias("_c"), text_of().alias("_text"))
+
+
+def _is_header() -> Column:
+    return F.array_contains("_c", "Ping_date") & F.array_contains("_c", "Depth_start")
+
+
+def headers(rows: DataFrame) -> DataFrame:
+    """(_text, _h): the entries of each text's header, NULL without one."""
+    return _split(rows).groupBy("_text").agg(F.min_by("_c", F.when(_is_header(), F.col("file"))).alias("_h"))
+
+
+def parse_pings(rows: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """Typed pings from text rows (``value``, ``file``).
 
     The header, the row that names the date and depth fields, says which leading entries
-    are metadata. Unknown fields go to the map ``extra``. Rows that are not UTF-8 are
-    skipped. Rows that cannot be read keep an ``error``; see ``good`` and ``quarantine``.
+    are metadata. Only the first of a text's part files has it, and it holds for all of them;
+    ``heads`` (see ``headers``) gives it if not all are among the rows. Unknown fields go to the
+    map ``extra``. Rows that are not UTF-8 are skipped. Rows that cannot be read keep an
+    ``error``; see ``good`` and ``quarantine``.
     """
-    rows = rows.where(F.is_valid_utf8("value"))
-    line = F.regexp_replace("value", f"^{BOM}", "")
-    cells = F.transform(F.split(line, ","), lambda x: F.trim(x))
-    d = rows.select("file", "value", cells.alias("_c"))
-    is_header = F.array_contains("_c", "Ping_date") & F.array_contains("_c", "Depth_start")
-    # One header per file: the smaller side by far; Spark broadcasts it only if its size allows.
-    heads = d.where(is_header).groupBy("file").agg(F.first("_c").alias("_h"))
-    d = d.where(~is_header).join(heads, "file", "left")
+    d = _split(rows)
+    # One header per text: the smaller side by far; Spark broadcasts it only if its size allows.
+    if heads is None:
+        heads = d.where(_is_header()).groupBy("_text").agg(F.min_by("_c", "file").alias("_h"))
+    d = d.where(~_is_header()).join(heads, "_text", "left")
 
     def raw(name):
         return F.get("_c", F.array_position("_h", name).cast("int") - 1)
@@ -105,8 +124,9 @@ def read_pings(spark: SparkSession, path, errors: str = "quarantine", pattern: s
 
 
 def count_lines(rows: DataFrame) -> DataFrame:
-    """Lines per file, and pings (lines without the header)."""
-    return rows.groupBy("file").agg(F.count(F.lit(1)).alias("n_lines"), (F.count(F.lit(1)) - 1).alias("n_pings"))
+    """Lines per text (of part files, ``file`` is the first), and pings (lines without the header)."""
+    n = F.count(F.lit(1))
+    return rows.groupBy(text_of().alias("_text")).agg(F.min("file").alias("file"), n.alias("n_lines"), (n - 1).alias("n_pings")).drop("_text")
 
 
 def as_recordings(pings: DataFrame, transect) -> DataFrame:

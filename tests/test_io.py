@@ -143,3 +143,46 @@ def test_incremental_ingest(spark, tmp_path):
     bad = rejected(spark, str(tmp_path / "out")).collect()
     assert [(r.file.rsplit("/", 1)[1], r.raw[:2]) for r in bad] == [("b.txt", "x8")]
     assert all(r.error for r in bad)
+
+
+JOB = "0a1b2c3d-0000-4000-8000-123456789abc"
+
+
+def parts(folder):
+    """A text in three part files, of which the first has the header, beside a part of another job and a plain file without one."""
+    row = "{}, 2020-01-02, 03:04:05, 0, 1, 9, Sea, -50, -51\n"
+    write(folder / f"part-00001-{JOB}.c000.txt", HEAD + row.format(0))
+    write(folder / f"part-00002-{JOB}.c000.txt", row.format(1) + row.format(2))
+    write(folder / f"part-00010-{JOB}.c000.txt", row.format(3))
+    write(folder / f"part-00002-{JOB[::-1].replace('-', '0')[:8]}{JOB[8:]}.c000.txt", row.format(4))
+    write(folder / "x.txt", row.format(5))
+
+
+def test_part_files_share_their_header(spark, tmp_path):
+    parts(tmp_path / "t=1")
+    p = pings.parse_pings(pings.read_text(spark, str(tmp_path)))
+    assert sorted((r.Ping_index, r.extra["Vessel"]) for r in pings.good(p).collect()) == [(0, "Sea"), (1, "Sea"), (2, "Sea"), (3, "Sea")]
+    assert [r.error for r in pings.quarantine(p).collect()] == ["file has no header"] * 2
+    n = sorted((r.file.rsplit("/", 1)[1][:10], r.n_lines, r.n_pings) for r in pings.count_lines(pings.read_text(spark, str(tmp_path))).collect())
+    assert n == [("part-00001", 5, 4), ("part-00002", 1, 0), ("x.txt", 1, 0)]
+
+
+def test_parts_in_different_batches(spark, tmp_path):
+    parts(tmp_path / "in [a] b" / "t=1")
+    ingest(spark, str(tmp_path / "in \\[a\\] b"), str(tmp_path / "out"), str(tmp_path / "ck"), files_per_batch=1)
+    assert sorted(r.Ping_index for r in ingested(spark, str(tmp_path / "out")).collect()) == [0, 1, 2, 3]
+    assert sorted(r.raw[0] for r in rejected(spark, str(tmp_path / "out")).collect()) == ["4", "5"]
+
+
+def test_text_in_part_files_round_trips(spark, tmp_path):
+    rows = spark.range(0, 4000, 1, 4).selectExpr("1L AS transect_id", "id AS ping_index", "1.6e9D + id AS ts_s", "0D AS depth_start", "1D AS depth_stop", "array(-50D, -51D) AS sv")
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    try:
+        files.write_text(pings.render_pings(rows), str(tmp_path / "p"), ["transect_id"], ["seq"])
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    assert len(list((tmp_path / "p" / "transect_id=1").glob("part-*"))) > 1
+    assert pings.read_pings(spark, str(tmp_path / "p"), errors="raise").count() == 4000
