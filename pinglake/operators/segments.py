@@ -153,6 +153,27 @@ def source_index(k: Column, n: Column, mode: str) -> Column:
     raise ValueError(f"unknown padding mode {mode!r}")
 
 
+def stood_for(i: Column, n: Column, pad: int, mode: str) -> Column:
+    """Positions k outside [0, n), at most ``pad`` away, for which ``source_index`` gives i."""
+    first, last = F.lit(-pad).cast("long"), n + pad - 1
+    if mode == "constant":
+        return F.expr("cast(array() as array<bigint>)")
+    if mode in ("reflect", "symmetric"):
+        # Every position that is i, or its mirror image, up to whole periods.
+        period, mirror = (2 * (n - 1), -i) if mode == "reflect" else (2 * n, -i - 1)
+        period = F.greatest(period, F.lit(1)).cast("long")
+        ks = [F.sequence(first + F.pmod(c - first, period), last, period) for c in (i, mirror)]
+        # A period may have no place in reach: the sequence would run backwards.
+        ks = [F.when(first + F.pmod(c - first, period) <= last, k).otherwise(F.expr("cast(array() as array<bigint>)")) for c, k in zip((i, mirror), ks)]
+        return F.filter(F.array_union(*ks), lambda k: (k < 0) | (k >= n))
+    if mode == "edge":
+        none = F.expr("cast(array() as array<bigint>)")
+        low = F.when((i == 0) & F.lit(pad > 0), F.sequence(first, F.lit(-1).cast("long"))).otherwise(none)
+        high = F.when((i == n - 1) & F.lit(pad > 0), F.sequence(n, last)).otherwise(none)
+        return F.concat(low, high)
+    raise ValueError(f"unknown padding mode {mode!r}")
+
+
 def pad_in_time(df: DataFrame, pad: int, mode: str = "reflect", previous: str = "diff", key: Sequence[str] = KEY,
                 idx: str = "ping_index") -> DataFrame:
     """Extend every recording (or part) by ``pad`` pings on either side.
@@ -161,7 +182,7 @@ def pad_in_time(df: DataFrame, pad: int, mode: str = "reflect", previous: str =
     the end ping repeated, ``constant`` gives NULL columns (fill them with 0 for zeros). Earlier padding in ``pad_start``/``pad_end`` is
     topped up (``diff``), added to (``add``), or left alone where present (``noop``).
     Index starts at -added; ``pad_start``/``pad_end`` give the new totals. Rows outside
-    the recording are found by key from the few pings that stand in for them.
+    the recording come from the few pings that stand in for them.
     """
     if previous not in {"diff", "add", "noop"}:
         raise ValueError(f"unknown previous padding rule {previous!r}")
@@ -177,35 +198,25 @@ def pad_in_time(df: DataFrame, pad: int, mode: str = "reflect", previous: str =
         }[previous].cast("long")
 
     ends = d.groupBy(*key).agg(
-        F.min(idx).alias("_lo"), F.max(idx).alias("_hi"),
+        F.min(idx).cast("long").alias("_lo"), F.max(idx).cast("long").alias("_hi"),
         F.first(amount("pad_start")).alias("_a"), F.first(amount("pad_end")).alias("_b"),
+        F.first("pad_start").alias("_ps"), F.first("pad_end").alias("_pe"),
     )
     n = F.col("_hi") - F.col("_lo") + 1
-    none = F.expr("cast(array() as array<bigint>)")
-    extra = ends.select(
-        *key,
-        "_lo",
-        n.alias("_len"),
-        F.explode(
-            F.concat(
-                F.when(F.col("_a") > 0, F.sequence(-F.col("_a"), F.lit(-1))).otherwise(none),
-                F.when(F.col("_b") > 0, F.sequence(n, n + F.col("_b") - 1)).otherwise(none),
-            )
-        ).alias("_k"),
-    ).withColumn("_src", source_index(F.col("_k"), F.col("_len"), mode) + F.col("_lo"))
-    body = d.join(ends.select(*key, "_a", "_b"), list(key))
     others = [c for c in d.columns if c not in (*key, idx)]
-    fresh = extra.select(*key, (F.col("_k") + F.col("_lo")).alias("_new"), F.col("_src").alias(idx)).join(
-        d, [*key, idx], "left" if mode == "constant" else "inner"
-    )
-    fresh = fresh.withColumn(idx, F.col("_new")).drop("_new").join(ends.select(*key, "_a", "_b"), list(key))
-    fixed = ["pad_start", "pad_end"]
+    # Each ping says which positions beyond the ends it stands in for: nothing but a row per recording meets the pings.
+    body = d.join(ends, list(key)).withColumn(idx, F.col(idx).cast("long"))
+    i = F.col(idx) - F.col("_lo")
+    reach = F.filter(stood_for(i, n, pad, mode), lambda k: (k >= -F.col("_a")) & (k < n + F.col("_b")))
+    body = body.withColumn("_k", F.explode(F.concat(F.array(i), reach))).withColumn("is_extra", F.col("_k") != i)
+    out = body.select(*key, (F.col("_k") + F.col("_lo")).alias(idx), *others, "_a", "_b", "is_extra")
     if mode == "constant":
-        olds = d.groupBy(*key).agg(F.first("pad_start").alias("_ps"), F.first("pad_end").alias("_pe"))
-        fresh = fresh.drop(*fixed).join(olds, list(key)).withColumnsRenamed({"_ps": "pad_start", "_pe": "pad_end"})
-    out = body.select(*key, idx, *others, "_a", "_b", F.lit(False).alias("is_extra")).unionByName(
-        fresh.select(*key, idx, *others, "_a", "_b", F.lit(True).alias("is_extra"))
-    )
+        none = F.expr("cast(array() as array<bigint>)")
+        low = F.when(F.col("_a") > 0, F.sequence(-F.col("_a"), F.lit(-1).cast("long"))).otherwise(none)
+        high = F.when(F.col("_b") > 0, F.sequence(n, n + F.col("_b") - 1)).otherwise(none)
+        fresh = ends.select(*key, "_lo", "_a", "_b", F.col("_ps").alias("pad_start"), F.col("_pe").alias("pad_end"), F.explode(F.concat(low, high)).alias("_k"))
+        fresh = fresh.select(*key, (F.col("_k") + F.col("_lo")).alias(idx), "pad_start", "pad_end", "_a", "_b", F.lit(True).alias("is_extra"))
+        out = out.unionByName(fresh, allowMissingColumns=True)
     return out.withColumn("pad_start", F.col("pad_start") + F.col("_a")).withColumn("pad_end", F.col("pad_end") + F.col("_b")).drop("_a", "_b")
 
 
