@@ -186,3 +186,11 @@ def test_text_in_part_files_round_trips(spark, tmp_path):
             spark.conf.set(k, v)
     assert len(list((tmp_path / "p" / "transect_id=1").glob("part-*"))) > 1
     assert pings.read_pings(spark, str(tmp_path / "p"), errors="raise").count() == 4000
+
+
+def test_region_lines_are_split_once(spark, tmp_path):
+    regions.write_regions(str(tmp_path / "r"), rect(spark))
+    d = regions.read_regions(spark, str(tmp_path / "r"))
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    # The header's pattern, the parting of records, and each record's lines, header and points.
+    assert plan.count("split(") <= 4, plan.count("split(")
