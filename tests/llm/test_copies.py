@@ -232,3 +232,28 @@ def test_stars_connect_what_similar_pairs_connect(seed):
     for a, b in zip(x.tolist(), y.tolist()):
         of[b] = a
     assert all((of[i] == of[j]) == (root[i] == root[j]) for i in range(len(sets)) for j in range(len(sets)))
+
+
+def test_groups_of_another_method_are_candidates(spark):
+    words = [f"w{i}" for i in range(200)]
+    texts = {1: " ".join(words), 2: " ".join([*words[:-1], "x"]), 3: " ".join(reversed(words))}
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    # Minimum hashes find nothing here: each set has fingerprints of its own.
+    prints = near_copies.signatures(d).withColumn("bands", F.array(F.xxhash64("s")))
+    linked = d.select(F.xxhash64("text").alias("t"), F.lit(5).cast("long").alias("root"))
+    s = {r.doc_id: r.s for r in prints.collect()}
+    assert near_copies.links(d, prints).count() == 0
+    found = {frozenset((r.a, r.b)) for r in near_copies.links(d, prints, linked=linked).collect()}
+    assert found == {frozenset((s[1], s[2]))}
+
+
+def test_dedup_of_the_pipeline_goes_through_the_operator(spark, monkeypatch):
+    import corpus_pipeline
+
+    asked = []
+    real = simhash_dedup.near_duplicates
+    monkeypatch.setattr(simhash_dedup, "near_duplicates", lambda d, *a, **k: asked.append(1) or real(d, *a, **k))
+    row = lambda i, t: (i, t, "en", "a", len(t))
+    words = " ".join(f"w{i}" for i in range(200))
+    d = spark.createDataFrame([row(1, words), row(2, words + " x"), row(3, "other text of no likeness at all")], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.dedup(spark, d, "").collect()) == [1, 3] and asked
