@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,12 +105,17 @@ def label_cells(df: DataFrame, cells: str, key: Sequence[str] = KEY, idx: str =
     d = df.select(*key, idx, F.floor(F.col(idx) / chunk).cast("long").alias("chunk"), F.col(cells).alias("_c"))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*key, idx).schema.fields)
 
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(idx)
-        lab, _ = _label_rows([np.asarray(c, dtype=bool) for c in pdf["_c"]], list(pdf[idx]))
-        return pdf[[*key, idx, "chunk"]].assign(labels=list(lab))
-
-    return d.groupBy(*key, "chunk").applyInPandas(label, f"{fields}, chunk long, labels array<int>")
+    def label(t: pa.Table) -> pa.Table:
+        t = t.sort_by(idx).combine_chunks()
+        cells, index = t.column("_c").combine_chunks(), t.column(idx).to_numpy()
+        ends = np.concatenate(([0], np.cumsum(cells.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))))
+        flat = cells.flatten().fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
+        lab, _ = _label_rows([flat[a:b] for a, b in zip(ends, ends[1:])], index.tolist())
+        n, width = lab.shape
+        labels = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(lab.ravel()))
+        return t.select([*key, idx, "chunk"]).append_column("labels", labels)
+
+    return d.groupBy(*key, "chunk").applyInArrow(label, f"{fields}, chunk long, labels array<int>")
 
 
 def _chunk_links(labelled: DataFrame, key, idx: str, chunk: int) -> DataFrame:

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
-from pinglake.operators import lines, masks
+from pinglake.operators import lines, masks, patches
+from pinglake.session import cut
 
 
 def test_an_exploded_mask_is_worked_out_once(spark):
@@ -12,3 +13,15 @@ def test_an_exploded_mask_is_worked_out_once(spark):
     assert "Filter" not in d._jdf.queryExecution().optimizedPlan().toString()
     assert {(r.id, r.j) for r in d.where("keep").collect()} == {(i, j) for i in (0, 2) for j in (1, 2)}
     assert d.count() == 12
+
+
+def test_masks_that_pack_tightly_are_labelled_in_many_tasks(spark):
+    """A group per chunk, all of them a few kilobytes: still a task for each core."""
+    d = spark.range(4000).select(F.lit(1).alias("transect_id"), F.col("id").alias("ping_index"), F.array_repeat(F.col("id") % 3 == 0, 64).alias("m"))
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        lab = cut(patches.label_cells(d, "m", chunk=16).withColumn("task", F.spark_partition_id()), "tasks")
+        assert lab.select("task").distinct().count() >= 2 and lab.count() == 4000
+        assert lab.where((F.get("labels", F.lit(63)) > 0) != (F.col("ping_index") % 3 == 0)).isEmpty()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
