@@ -46,6 +46,7 @@ FEATURES = 4
 ROUNDS = 4
 RATE = 0.3
 STEP = 4096  # tokens per gradient step
+PIECE = 1024  # tokens whose classes are worked out together
 BATCH_TEXTS, BATCH_TOKENS = 2000, 1 << 20
 FOLDS, HELD_OUT = 7, 2
 # The end of a text as a word; real words hold no white space.
@@ -64,6 +65,21 @@ def class_of(word: str) -> int:
     return 0 if word == END else 1 + zlib.crc32(word[-2:].encode()) % (CLASSES - 1)
 
 
+def classes_of(names: list[bytes]) -> np.ndarray:
+    """``class_of`` each word; plain last letters, of which there are few, are looked at once."""
+    seen: dict[bytes, int] = {}
+    out = np.empty(len(names), np.uint8)
+    for i, x in enumerate(names):
+        tail = x[-2:]
+        c = seen.get(tail)
+        if c is None:
+            c = class_of(x.decode())
+            if tail.isascii():
+                seen[tail] = c
+        out[i] = c
+    return out
+
+
 # Texts to batches of word numbers ----------------------------------------------------------------
 
 # Words are told apart by 64-bit hashes (keys), ascending and without sign; tokens are places in the batch's list of keys.
@@ -94,7 +110,7 @@ def _encode(ids: list, raw: list[bytes]) -> dict:
         "words": len(names),
         "tokens": tokens.astype("<u2" if len(names) <= 1 << 16 else "<u4").tobytes(),
         "keys": keys[order].tobytes(),
-        "classes": np.fromiter((class_of(x.decode()) for x in names), np.uint8, len(names))[order].tobytes(),
+        "classes": classes_of(names)[order].tobytes(),
         "counts": counts.astype("<u4").tobytes(),
     }
 
@@ -289,27 +305,70 @@ def rows_of(hashes: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.nda
     return (hashes % np.uint64(ROWS)).astype(np.int64), (mix64(hashes ^ salt) % np.uint64(ROWS)).astype(np.int64)
 
 
+def _pieces(bias: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """What a softmax starts from, less its maximum, for PIECE tokens at a time, which a core's cache holds. The array is used again."""
+    n, width = rows.shape[1], weights.shape[1]
+    room, more = np.empty((2, min(n, PIECE), width), np.float32)
+    for at in range(0, n, PIECE):
+        here = slice(at, min(at + PIECE, n))
+        z, x = room[: here.stop - at], more[: here.stop - at]
+        # All rows are in the table; without "clip" numpy would go by way of a copy.
+        weights.take(rows[0, here], axis=0, out=z, mode="clip")
+        for r in rows[1:]:
+            weights.take(r[here], axis=0, out=x, mode="clip")
+            z += x
+        z += bias[here] if len(bias) == n else bias
+        z -= z.max(axis=1, keepdims=True)
+        yield here, z
+
+
+def softmax(bias: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    out = np.empty((rows.shape[1], weights.shape[1]), np.float32)
+    for here, z in _pieces(bias, weights, rows):
+        p = np.exp(z, out=out[here])
+        p /= p.sum(axis=1, keepdims=True)
+    return out
+
+
 def log_softmax(bias: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = weights[rows[0]]
-    for r in rows[1:]:
-        z += weights[r]
-    z += bias
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return z
-
-
-def run_sums(x: np.ndarray, first: np.ndarray, size: np.ndarray, short: int = 8) -> np.ndarray:
-    """Sums of neighbouring rows, ``size`` of them from ``first`` on: the second rows of all short runs together, then the third; long runs alone."""
-    out = x[first]
+    out = np.empty((rows.shape[1], weights.shape[1]), np.float32)
+    for here, z in _pieces(bias, weights, rows):
+        np.subtract(z, np.log(np.exp(z).sum(axis=1, keepdims=True)), out=out[here])
+    return out
+
+
+def log_likely(bias: np.ndarray, weights: np.ndarray, rows: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """``log_softmax`` at each token's ``target`` alone."""
+    out = np.empty(rows.shape[1], np.float32)
+    for here, z in _pieces(bias, weights, rows):
+        own = z[np.arange(len(z)), target[here]]
+        out[here] = own - np.log(np.exp(z, out=z).sum(axis=1))
+    return out
+
+
+def run_sums(x: np.ndarray, first: np.ndarray, size: np.ndarray, short: int = 8, at: np.ndarray | None = None) -> np.ndarray:
+    """Sums of neighbouring rows (of ``x[at]``, if given), ``size`` of them from ``first`` on: the second rows of all short runs together, then the third; long runs alone.
+
+    Runs are taken by falling size, so that those with a k-th row lie side by side; runs given so need not be put back.
+    """
+    at = np.arange(len(x)) if at is None else at
+    fall = np.all(size[1:] <= size[:-1])
+    by = slice(None) if fall else np.argsort(-size, kind="stable")
+    first, size = first[by], size[by]
+    out = x.take(at[first], axis=0, mode="clip")
+    long = int(np.searchsorted(-size, -short))
+    for i in range(long):
+        out[i] = x.take(at[first[i] : first[i] + size[i]], axis=0, mode="clip").sum(axis=0)
     for k in range(1, short):
-        at = np.flatnonzero((size > k) & (size <= short))
-        if not len(at):
+        end = int(np.searchsorted(-size, -k))
+        if end <= long:
             break
-        out[at] += x[first[at] + k]
-    for i in np.flatnonzero(size > short):
-        out[i] = x[first[i] : first[i] + size[i]].sum(axis=0)
-    return out
+        out[long:end] += x.take(at[first[long:end] + k], axis=0, mode="clip")
+    if fall:
+        return out
+    back = np.empty_like(out)
+    back[by] = out
+    return back
 
 
 class Trainer:
@@ -322,19 +381,22 @@ class Trainer:
 
     def step(self, bias: np.ndarray, rows: np.ndarray, target: np.ndarray) -> None:
         n = len(target)
-        g = np.exp(log_softmax(bias, self.weights, rows))
+        g = softmax(bias, self.weights, rows)
         g[np.arange(n), target] -= 1.0
-        flat = rows.ravel()
+        # Numbers of 16 bits are sorted by their digits.
+        flat = rows.ravel().astype(np.uint16 if ROWS <= 1 << 16 else np.int64)
         order = np.argsort(flat, kind="stable")
         s = flat[order]
         first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
         size = np.diff(np.r_[first, len(s)])
-        total = run_sums(g[order % n], first, size)
-        at = s[first]
+        by = np.argsort((len(s) - size).astype(np.uint16 if len(s) < 1 << 16 else np.int64), kind="stable")
+        first, size = first[by], size[by]
+        total = run_sums(g, first, size, at=order % n)
+        at = s[first].astype(np.int64)
         self.seen[at] += np.einsum("ij,ij->i", total, total)
         self.touched[at] += size
         total *= (RATE / np.sqrt(self.seen[at]))[:, None]
-        self.weights[at] -= total
+        self.weights[at] = np.subtract(self.weights.take(at, axis=0, mode="clip"), total, out=total)
 
 
 def _columns(b: pa.RecordBatch, i: int) -> tuple:
@@ -465,9 +527,9 @@ def score(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
                 outer = np.empty(len(tokens))
                 for at in range(0, len(tokens), STEP):
                     word = tokens[at : at + STEP]
-                    k, g, every = classes[word], groups[word], np.arange(len(word))
+                    k, g = classes[word], groups[word]
                     one, two = rows_of(hashes[:, at : at + STEP], k)
-                    outer[at : at + STEP] = log_softmax(m.bias[0], weights[0], one)[every, k] + log_softmax(m.bias[1][k], weights[1], two)[every, g]
+                    outer[at : at + STEP] = log_likely(m.bias[0], weights[0], one, k) + log_likely(m.bias[1][k], weights[1], two, g)
                 sums = lambda x: np.add.reduceat(x, starts)
                 k = len(lengths)
                 ids = b.column("ids")[i].values

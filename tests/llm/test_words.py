@@ -176,3 +176,24 @@ def test_sample_is_the_smallest_hashes(spark):
     assert len(quality_pu._sample(df.where("false"), 5)) == 0
     # All rows under one id share a hash.
     assert len(quality_pu._sample(df.withColumn("doc_id", F.lit(7)), 40)) == 40
+
+
+def test_likely_and_softmax_agree_with_the_whole_log_softmax():
+    rng = np.random.default_rng(5)
+    n = lm.PIECE + 37
+    weights = rng.normal(size=(lm.ROWS, lm.GROUPS)).astype(np.float32)
+    rows = rng.integers(0, lm.ROWS, (lm.FEATURES, n))
+    target = rng.integers(0, lm.GROUPS, n)
+    for bias in (rng.normal(size=(1, lm.GROUPS)).astype(np.float32), rng.normal(size=(n, lm.GROUPS)).astype(np.float32)):
+        z = (bias + sum(weights[r] for r in rows)).astype(np.float64)
+        want = z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+        assert np.allclose(lm.log_softmax(bias, weights, rows), want, atol=1e-4) and np.allclose(lm.softmax(bias, weights, rows), np.exp(want), atol=1e-5)
+        assert np.allclose(lm.log_likely(bias, weights, rows, target), want[np.arange(n), target], atol=1e-4)
+    first, size = np.array([0, 3, 4, 30]), np.array([3, 1, 26, 5])
+    at = rng.permutation(35)
+    assert np.allclose(lm.run_sums(z, first, size, at=at), [z[at[a : a + k]].sum(axis=0) for a, k in zip(first, size)])
+
+
+def test_classes_of_a_list_are_those_of_its_words():
+    names = [lm.END, "a", "é", "aé", "éa", "tion", "station", "日本", "x日", "日x", "ab", "cab", "ß", "1", "\x00a"]
+    assert lm.classes_of([x.encode() for x in names]).tolist() == [lm.class_of(x) for x in names]
