@@ -159,14 +159,14 @@ def _(t):
 
 @query("u9_lines")
 def _(t):
-    s = scoring.score_to_lines(t.echo, _stand_in_model, height=32)
-    pts, _, _ = scoring.lines_and_regions(s, min_patch_area=0)
+    s = scoring.score_to_lines(t.echo, _stand_in_model, height=32, columns=(*scoring.NAMES, "is_passive"))
+    pts = scoring.line_points(s)
     return pts.select("transect_id", "line", F.round("ts_s", 3).alias("ts_s"), F.round("depth", 6).alias("depth"), "status")
 
 
 @query("u9_regions")
 def _(t):
-    s = scoring.score_to_lines(t.echo, _stand_in_model, height=32, autocrop=1)
+    s = scoring.score_to_lines(t.echo, _stand_in_model, height=32, autocrop=1, columns=(*scoring.NAMES, *scoring.region_columns()))
     _, rect, con = scoring.lines_and_regions(s, min_patch_area=4, min_passive=0, min_removed=0)
     cols = ["transect_id", "kind", "number", "ts_start", "ts_end", "top", "low"]
     return rect.select(*cols).unionByName(con.select(*cols))
