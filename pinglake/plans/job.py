@@ -11,7 +11,7 @@ from ..operators import grid
 from ..operators.blocks import dense_index
 from ..session import cut, exists
 from ..sources import files, lines, pings, regions
-from .scoring import lines_and_regions, score_to_lines
+from .scoring import lines_and_regions, region_columns, score_to_lines
 
 KEY = ["transect_id"]
 
@@ -65,7 +65,10 @@ def run_job(spark: SparkSession, folder: str, output_dir: str, load: Callable, m
     rec = pings.as_recordings(pings.good(parsed), F.col("file"))
     # Bad rows leave gaps: pings are numbered anew in order.
     rec = cut(dense_index(rec.withColumnRenamed("ping_index", "_given"), KEY, ["_given"]).drop("_given"), "pings")
-    scored = cut(score_to_lines(grid.regrid(rec), load, autocrop=autocrop, smoothing=smoothing, **(score_options or {})), "scored")
+    # Stored, as statistics, steps and segments each read the pings on their grid.
+    rec = cut(grid.regrid(rec), "grid")
+    columns = (*names, *region_columns((region_options or {}).get("patch_mode")))
+    scored = score_to_lines(rec, load, autocrop=autocrop, smoothing=smoothing, **{"columns": columns, **(score_options or {})})
     pts, rect, contours = lines_and_regions(scored, during_passive, names=names, **(region_options or {}))
     name = cut(plan.select(F.col("file").alias("transect_id"), "kind", "output"), "names")
     line = lines.line_rows(pts, pad=True).withColumnRenamed("line", "kind").select(*KEY, "kind", "seq", "value")

@@ -1,10 +1,10 @@
-"""Scores and holes: only what is asked for is worked out."""
+"""Scores, holes and smoothing: only what is asked for is worked out, in groups of a bounded size."""
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pinglake.operators import grid, probs
+from pinglake.operators import grid, probs, smooth
 from pinglake.plans import scoring
 
 
@@ -83,3 +83,42 @@ def test_holes_are_filled_from_the_cells_around_them(spark, block):
     for t, v in recs.items():
         mine = np.array([[np.nan if x is None else x for x in got[(t, i)]] for i in range(len(v))])
         assert np.allclose(mine, filled(v), equal_nan=True)
+
+
+def test_pings_on_the_grid_stay_as_they_are(spark):
+    data = [(1, i, 10.0, 1.0, [1.0, None, 3.0, float(i)]) for i in range(5)] + [(1, 5, 1.0, 10.0, [1.0, 2.0, 3.0, 4.0]), (1, 6, 10.0, 1.0, [None, None, 3.0, None])]
+    d = spark.createDataFrame(data, "transect_id long, ping_index long, depth_start double, depth_stop double, sv array<double>")
+    got = {r.ping_index: r.sv for r in grid.regrid(d).collect()}
+    assert got == {i: [1.0, None, 3.0, float(i)] for i in range(5)} | {5: [4.0, 3.0, 2.0, 1.0], 6: [None] * 4}
+
+
+@pytest.mark.parametrize("block", [4, None])
+@pytest.mark.parametrize("mode", ["edge", "symmetric"])
+def test_channels_are_smoothed_along_both_axes(spark, block, mode):
+    """In blocks of a few hundred pings, without a list of neighbours per ping; a missing cell clears what it reaches."""
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(30, 3, 5))
+    data = [(1, i, i % 2 == 0, [[float(x) for x in ch] for ch in r]) for i, r in enumerate(v)]
+    data[7][3][1][2] = None
+    d = spark.createDataFrame(data[::-1], "transect_id long, ping_index long, flag boolean, logits array<array<double>>").repartition(3)
+    s = smooth.gaussian_arrays(d, "logits", 1.0, 0.5, mode=mode, rows=block)
+    assert "collect_list" not in plan(s) and "Window" not in plan(s)
+    v[7, 1, 2] = np.nan
+    wd, wt = smooth.gaussian_weights(0.5), smooth.gaussian_weights(1.0)
+    p = np.pad(v, ((0, 0), (0, 0), (len(wd) // 2,) * 2), mode="edge")
+    v = sum(w * p[:, :, k : k + 5] for k, w in enumerate(wd))
+    p = np.pad(v, ((len(wt) // 2,) * 2, (0, 0), (0, 0)), mode=mode)
+    want = sum(w * p[k : k + 30] for k, w in enumerate(wt))
+    rows = {r.ping_index: r for r in s.collect()}
+    got = np.array([[[np.nan if x is None else x for x in ch] for ch in rows[i].logits] for i in range(30)])
+    assert np.allclose(got, want, equal_nan=True, rtol=1e-12) and np.isnan(got).any()
+    assert all(rows[i].flag == (i % 2 == 0) for i in range(30)) and s.columns == ["transect_id", "ping_index", "flag", "logits"]
+
+
+def test_arrays_of_different_length_are_smoothed_cell_by_cell(spark):
+    data = [(1, 0, [1.0, 2.0]), (1, 1, [3.0]), (1, 2, None), (2, 0, [5.0, 6.0, 7.0])]
+    d = spark.createDataFrame(data, "transect_id long, ping_index long, v array<double>")
+    got = {(r.transect_id, r.ping_index): r.v for r in smooth.gaussian_time(d, "v", 0.2, is_array=True, mode="edge").collect()}
+    w = smooth.gaussian_weights(0.2)
+    assert got[(1, 0)] == [pytest.approx(w[0] + w[1] + 3 * w[2]), None] and got[(1, 1)] == [None]
+    assert got[(1, 2)] is None and got[(2, 0)] == pytest.approx([5.0, 6.0, 7.0])
